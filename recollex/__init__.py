@@ -1 +1 @@
-
+"""Temporal, multimodal memory retrieval on Spark."""
