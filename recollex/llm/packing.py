@@ -93,7 +93,9 @@ def serve(supply: np.ndarray, share: np.ndarray, debt: np.ndarray, width: int, l
         q = q / q.sum() if q.sum() > 0 else active / active.sum()
         pay = np.clip(debt, -rate * room * q, rate * room * q)
         debt -= pay
-        deficit = np.where(active, deficit, 0.0) + q * room + pay
+        deficit = np.where(active, deficit, 0.0)
+        earned = q * room + pay
+        deficit += earned * (room / earned.sum()) - q * deficit.sum()  # what is earned is the window, so deficits add up to 0
         served = []
         order = np.argsort(-np.where(active, deficit, -np.inf), kind="stable")
         for full in (False, True):
