@@ -184,7 +184,8 @@ def join(docs: DataFrame, *, shingle: int = 5, threshold: tuple[int, int] = (4,
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = materialize(members.select(F.col("rep").alias("doc_id"), "rid", "fam", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block")), "near-members")
     bins = max(1, -(-members.count() // BLOCK))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    # Members grow with the corpus, so they are never broadcast, whatever they are here.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
     payload = "rid long, fam long, copies long, blocks int, block int, sig binary, shingles binary"
 
     def describe(batches):
