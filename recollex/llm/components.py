@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edges per file of a round's table; a round that has few left writes few files.
+FILE_EDGES = 250_000
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """edges: a, b (longs). Returns v, root for every vertex of an edge with a <> b; root is the component's smallest."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    seen = None
+    seen, left = None, e.count()
     for _ in range(most_rounds):
         # Large star: every larger neighbour goes to the least of the neighbours and itself.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -20,12 +23,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         # Small star: a vertex and its smaller neighbours go to the least of them.
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "cc")
+        e = materialize(small.coalesce(1 + left // FILE_EDGES), "cc")  # a round never adds edges
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, left = now, now[0]
     else:
         raise RuntimeError(f"components had not settled after {most_rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("root"))
-    return stars.select(F.col("u").alias("v"), "root").union(stars.select(F.col("root").alias("v"), "root").distinct())
+    return stars.select(F.col("u").alias("v"), "root").union(stars.select(F.col("root").alias("v"), "root").distinct()).coalesce(1 + left // FILE_EDGES)
