@@ -84,7 +84,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     found = alignments(index, items, width).join(items, "key")
     by_doc = found.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("t2")).agg(F.collect_list(F.struct("item_id", "item", "diag")).alias("cands"))  # a document's alignments
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
-    joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d2"]) & (rows["th"] == by_doc["t2"]), "left").select("doc_id", words_column(F.col("text")).alias("words"), "cands", "row")
+    # The generator keeps a filter on hits, which Spark pushes down, from splitting the text anew for every item word.
+    joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d2"]) & (rows["th"] == by_doc["t2"]), "left").select("doc_id", F.explode(F.array(words_column(F.col("text")))).alias("words"), "cands", "row")
 
     def matched(c):
         """Places of c's item whose word stands in the document."""
