@@ -96,23 +96,50 @@ def serve(supply: np.ndarray, share: np.ndarray, debt: np.ndarray, width: int, l
         deficit = np.where(active, deficit, 0.0)
         earned = q * room + pay
         deficit += earned * (room / earned.sum()) - q * deficit.sum()  # what is earned is the window, so deficits add up to 0
-        served = []
-        order = np.argsort(-np.where(active, deficit, -np.inf), kind="stable")
+        order = np.argsort(-np.where(active, deficit, -np.inf), kind="stable")[:np.count_nonzero(active)].tolist()
+        stock, owed, served = left.tolist(), deficit.tolist(), []
         for full in (False, True):
             for i in order:
-                if not room or not active[i]:
+                if not room:
                     break
-                n = min(int(left[i]), room, room if full else int(max(0.0, deficit[i])))
-                if n <= 0 or not full and n < min(least, left[i]):
+                n = min(stock[i], room, room if full else int(max(0.0, owed[i])))
+                if n <= 0 or not full and n < min(least, stock[i]):
                     continue
-                served.append((int(i), n))
-                left[i] -= n
-                deficit[i] -= n
+                served.append((i, n))
+                stock[i] -= n
+                owed[i] -= n
                 room -= n
+        left, deficit = np.array(stock, np.int64), np.array(owed)
         out.append(served)
     return out
 
 
+def pieces(names: list, queues: dict, plan: list[list[tuple[int, int]]], first_sequence: int) -> pa.Table:
+    """What the plan serves of each queue, cut where documents end."""
+    flat = np.array([(k, i, n) for k, served in enumerate(plan) for i, n in served], np.int64).reshape(-1, 3)
+    window, queue, n = flat.T
+    before = np.cumsum(n) - n
+    opens = np.searchsorted(window, window)
+    offset = before - before[opens]
+    parts = []
+    for i, name in enumerate(names):
+        own = np.flatnonzero(queue == i)
+        ends = np.cumsum(n[own])
+        served_from = ends - n[own]
+        ids = [b for _, b in queues[name]]
+        sizes = np.array([len(b) // 4 for b in ids], np.int64)
+        doc_from = np.cumsum(sizes) - sizes
+        start = np.union1d(served_from, doc_from)
+        stop = np.append(start[1:], sizes.sum())
+        doc, turn = np.searchsorted(doc_from, start, "right") - 1, np.searchsorted(served_from, start, "right") - 1
+        view = memoryview(b"".join(ids))
+        crc = [zlib.crc32(view[4 * x:4 * y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+        doc_ids = pa.array([d for d, _ in queues[name]], pa.int64()).take(pa.array(doc))
+        cols = (doc_ids, start - doc_from[doc], stop - start, crc, sizes[doc], first_sequence + window[own][turn], offset[own][turn] + start - served_from[turn], [name] * len(start))
+        parts.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW.types, strict=True)], schema=_ARROW))
+    return pa.concat_tables(parts)
+
+
 def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 0, width: int = 1024, target: Mapping[str, float] | None = None,
          lane_bytes: int = 16 << 20, least_piece: int = 32, pay_rate: float = 0.1) -> DataFrame:
     """Pieces of documents in sequences. target: source to share of tokens (default: the share of bytes that it has in
@@ -151,21 +178,6 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 0,
         supply = np.array([sum(len(b) for _, b in queues[s]) // 4 for s in names])
         per_byte = supply.sum() / max(1, sum(right.column("b").to_pylist()))
         plan = serve(supply, np.array([facts[s][0] for s in names]), np.array([facts[s][1] * per_byte for s in names]), width, least_piece, pay_rate)
-        at = [[0, 0] for _ in names]  # document, its ids before
-        cols: list[list] = [[] for _ in range(8)]
-        for k, served in enumerate(plan):
-            offset, sequence = 0, (lane << 32) + k
-            for i, n in served:
-                queue, place = queues[names[i]], at[i]
-                while n:
-                    d, b = queue[place[0]]
-                    total = len(b) // 4
-                    m = min(n, total - place[1])
-                    for c, v in zip(cols, (d, place[1], m, zlib.crc32(memoryview(b)[4 * place[1]:4 * (place[1] + m)]), total, sequence, offset, names[i]), strict=True):
-                        c.append(v)
-                    offset, n, place[1] = offset + m, n - m, place[1] + m
-                    if place[1] == total:
-                        place[0], place[1] = place[0] + 1, 0
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW.types, strict=True)], schema=_ARROW)
+        return pieces(names, queues, plan, lane << 32)
 
     return docs.groupBy("lane").cogroup(owed.groupBy("owed_lane")).applyInArrow(run, SCHEMA)
