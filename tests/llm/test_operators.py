@@ -137,7 +137,7 @@ def test_block_max_is_exact():
             assert np.allclose(c, [-x[0] for x in want], atol=1e-9) and set(index.ids[p]) == {x[1] for x in want}
 
 
-def test_lm(spark, docs, empty):
+def test_lm(spark, docs, empty, monkeypatch):
     rows = pairs(docs)
     toks = [(d, [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(UP)) if w] + ["\n"]) for d, t in rows]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
@@ -148,6 +148,11 @@ def test_lm(spark, docs, empty):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 for r in got) and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert lm.score(empty, steps=1).count() == 0
+    # Tokens beyond the head come through the join and change no figure.
+    whole = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
+    monkeypatch.setattr(lm, "HEAD", 300)
+    tail = lm.score(docs, steps=4).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in tail) == whole
 
 
 def test_lm_adds_up_to_one():
