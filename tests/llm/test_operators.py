@@ -122,6 +122,20 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.score(d, lab.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_reads_whole_texts(spark):
+    """Words too rare, and too many, to be tied to the label one by one still lead to near copies."""
+    rows, labels = [], []
+    for i in range(1200):
+        group = i // 6
+        rows.append((i, " ".join([f"g{group}x{j}" for j in range(6)] + [f"own{i}", "common"])))
+        labels.append((i, int(group % 5 == 0)))
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), k=3).collect()
+    at = {g: [i for i in range(6 * g, 6 * g + 6) if zlib.crc32(str(i).encode()) % 3 != 1] for g in range(200)}
+    seen = [r for r in got if r["held_out"] and len(at[r["doc_id"] // 6]) >= 3]
+    assert len(seen) > 100 and all(r["predicted"] == (r["doc_id"] // 6 % 5 == 0) for r in seen)
+    assert all(n // 6 == r["doc_id"] // 6 for r in seen for n in r["neighbours"])
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     v = np.maximum(0, rng.normal(size=(700, 12)) - 0.8) + 1e-9 * (np.arange(12) == 0)
