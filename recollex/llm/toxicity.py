@@ -6,7 +6,8 @@ label in the sample, where that is positive. A text's other words meet no exampl
 neither the order of neighbours nor the votes depend on. For each text the k nearest examples by exact cosine come from an
 inverted index whose postings stand in blocks with their largest weight: blocks are visited by falling upper bound until
 none can hold a nearer example. Votes are weighted by the squared cosine; an isotonic fit of leave-one-out votes over the
-sample turns their share into a probability. Words are told apart by a 64-bit hash.
+sample turns their share into a probability. In votes, fit and shares an example counts as often as its class was sampled
+less, so scores mean the same whatever the sample. Words are told apart by a 64-bit hash.
 
 Defined cases: null or empty text, and texts without any term, have no neighbours and get the sample's share of toxic
 rows among such texts; null doc_id is not in a sample and not held out; a doc_id with several labels counts as toxic if one
@@ -51,13 +52,14 @@ def _alike(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, ids: np.ndar
 
 class BlockMaxIndex:
     """Vectors as postings in blocks of BLOCK examples with their largest weights. They come dense (examples x terms) or as
-    (row, term, weight) of what isn't 0 with the number of terms."""
+    (row, term, weight) of what isn't 0 with the number of terms. counts: how many labelled rows an example stands for (1)."""
 
-    def __init__(self, vectors: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray, int], ids: np.ndarray, toxic: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray, int], ids: np.ndarray, toxic: np.ndarray, counts: np.ndarray | None = None) -> None:
         rows, terms, values, width = (*np.nonzero(vectors), vectors[np.nonzero(vectors)], vectors.shape[1]) if isinstance(vectors, np.ndarray) else vectors
         n = len(ids)
         order = _alike(rows, terms, values, ids)
         self.ids, self.toxic = ids[order], toxic[order]
+        self.counts = np.ones(n) if counts is None else counts[order]
         self.blocks = -(-n // BLOCK)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
@@ -126,20 +128,22 @@ class BlockMaxIndex:
         places, cosines = self.nearest(terms, weights, k, skip, sums)
         if not len(places):
             return -1.0, places, cosines
-        w = cosines**2
+        w = cosines**2 * self.counts[places]
         return float((w * self.toxic[places]).sum() / w.sum()), places, cosines
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: thresholds and non-decreasing values, smoothed by one row of the overall share."""
+def isotonic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled adjacent violators: thresholds and non-decreasing values, smoothed by one row of the overall share. A row
+    counts `counts` times (1)."""
+    counts = np.ones(len(x)) if counts is None else counts
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # sum, n, from
-    for v, t in zip(x[order], y[order], strict=True):
+    for v, t, c in zip(x[order], y[order], counts[order], strict=True):
         if pools and pools[-1][2] == v:
-            pools[-1][0] += t
-            pools[-1][1] += 1
+            pools[-1][0] += t * c
+            pools[-1][1] += c
         else:
-            pools.append([float(t), 1.0, float(v)])
+            pools.append([float(t * c), float(c), float(v)])
     merged: list[list[float]] = []
     for p in pools:
         merged.append(p)
@@ -147,7 +151,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             s, n, _ = merged.pop()
             merged[-1][0] += s
             merged[-1][1] += n
-    share = float(y.mean()) if len(y) else 0.0
+    share = float((y * counts).sum() / counts.sum()) if len(y) else 0.0
     return np.array([p[2] for p in merged]), np.array([(p[0] + share) / (p[1] + 1) for p in merged])
 
 
@@ -205,7 +209,9 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     vocabulary, term = np.unique(got["words"].combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
     tf = got["tf"].combine_chunks().flatten().to_numpy().astype(float)
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    share = float(n1 / (n1 + n0)) if n1 + n0 else 0.0
+    counts = np.where(toxic > 0, 1 / part[1], 1 / part[0])
+    counts /= counts.mean() if len(counts) else 1.0
+    share = float((toxic * counts).sum() / counts.sum()) if n1 + n0 else 0.0
     a, b = (np.bincount(term, y[row], minlength=len(vocabulary)) for y in (toxic, 1 - toxic))
     lift = ((a + 1) / (n1 + 2)) / ((b + 1) / (n0 + 2))
     if terms is not None or least_lift is not None or least_chi2 is not None:
@@ -240,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     has = np.bincount(row, minlength=len(example)) > 0
     w = (1.0 + np.log(tf)) * idf[term]
     w /= np.sqrt(np.bincount(row, w * w, minlength=len(example)))[row]
-    index = BlockMaxIndex(((np.cumsum(has) - 1)[row], term, w, len(vocabulary)), example[has], toxic[has])
+    index = BlockMaxIndex(((np.cumsum(has) - 1)[row], term, w, len(vocabulary)), example[has], toxic[has], counts[has])
     sent = spark.sparkContext.broadcast((index, idf))
 
     def votes(batches):
@@ -256,9 +262,9 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
 
     voted = [(r[0], r[1]) for r in sampled.mapInArrow(votes, "raw double, toxic int").collect()]  # the bounded sample
     voted = [v for v in voted if v[0] >= 0]
-    steps, values = isotonic(np.array([v[0] for v in voted]), np.array([float(v[1]) for v in voted])) if voted else (np.zeros(1), np.zeros(1))
-    bare = toxic[~has]
-    without = float((bare.sum() + 0.5 * share) / (len(bare) + 0.5))
+    times = {t: c for t, c in zip(toxic.tolist(), counts.tolist(), strict=True)}  # one value a class
+    steps, values = isotonic(np.array([v[0] for v in voted]), np.array([float(v[1]) for v in voted]), np.array([times[v[1]] for v in voted])) if voted else (np.zeros(1), np.zeros(1))
+    without = float(((toxic * counts)[~has].sum() + 0.5 * share) / (counts[~has].sum() + 0.5))
 
     def judge(batches):
         vocabulary, (index, idf) = sent_words.value, sent.value

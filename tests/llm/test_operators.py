@@ -136,6 +136,19 @@ def test_toxicity_reads_whole_texts(spark):
     assert all(n // 6 == r["doc_id"] // 6 for r in seen for n in r["neighbours"])
 
 
+def test_toxicity_scores_keep_the_share(spark):
+    """A sample with other rates a class gives the shares of all labelled rows, with words, without, and without any term."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(40)], 12)) if i % 4 else "") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(rng.random() < 0.1)) for i in range(3000)], "doc_id long, toxic int")
+    share = lab.agg(F.avg("toxic")).first()[0]
+    got = toxicity.score(d, lab, toxic_rows=90, clean_rows=90).collect()
+    for some in (True, False):
+        assert abs(np.mean([r["score"] for r in got if bool(r["doc_id"] % 4) == some]) - share) < 0.07
+    assert abs(toxicity.score(d.withColumn("text", F.lit("")), lab, toxic_rows=90, clean_rows=90).first()["score"] - share) < 0.07
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     v = np.maximum(0, rng.normal(size=(700, 12)) - 0.8) + 1e-9 * (np.arange(12) == 0)
