@@ -1,7 +1,7 @@
 """Language identification by fusing evidence in Bayes' rule.
 
 posterior(l) ~ prior(l | host) * P(declared | l) * P(text | l). The text's likelihood comes from hashed byte trigrams, one
-multinomial a language, fitted on a bounded sample of declared rows. Host priors are smoothed along a hierarchy (all rows,
+multinomial for every declared language with usable rows, fitted on a bounded sample of its rows. Host priors are smoothed along a hierarchy (all rows,
 address suffix, host), and P(declared | l) is the declared markup's reliability; both come from grouped aggregation over
 all rows, from the languages that the texts alone suggest.
 
@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from .common import materialize, row_chunks, texts_of
 
 BUCKETS = 1 << 16
-#: Declared languages with less than this share of rows aren't models of their own; at most MOST are.
-LEAST_SHARE, MOST = 0.005, 64
+#: A language's sample is its even part of the sample, but no smaller than this.
+LEAST_ROWS = 300
+#: Rows that a language can be fitted on have such a run of letters.
+USABLE = r"[A-Za-z]{3}|[^\x00-\x7F]{2}"
 
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,31 +43,35 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def fit_text(docs: DataFrame, sample_rows: int = 6000) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(bucket | language), from about sample_rows declared rows picked by a hash of their id and text."""
-    declared = docs.where(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST).collect()}
-    total = sum(counts.values())
-    langs = sorted(k for k, n in counts.items() if n >= LEAST_SHARE * total)
+def fit_text(docs: DataFrame, keys: list[str], sample_rows: int = 6000) -> tuple[list[str], np.ndarray]:
+    """Languages and log P(bucket | language), from about sample_rows declared rows, as many of each language (LEAST_ROWS at
+    least, if it has them), picked by a hash of their keys and text. The row that hashes lowest is always in."""
+    hashed = F.pmod(F.xxhash64("text", *keys, F.lit("sample")), F.lit(1 << 30))
+    declared = docs.where(F.col("declared").isNotNull() & F.col("text").rlike(USABLE)).withColumn("_u", hashed)
+    counts = {r[0]: (r[1], r[2]) for r in declared.groupBy("declared").agg(F.count("*"), F.min("_u")).collect()}  # one row a language
+    langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
-    part = min(1.0, sample_rows / total)
-    sample = declared.where(F.col("declared").isin(langs) & (F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))).select("text", "declared")
+    rows = max(LEAST_ROWS, sample_rows // len(langs))
+    below = docs.sparkSession.createDataFrame([(v, i, max(int(min(1.0, rows / counts[v][0]) * (1 << 30)), counts[v][1] + 1)) for i, v in enumerate(langs)], "declared string, _l int, _below long")
+    sample = declared.join(F.broadcast(below), "declared").where(F.col("_u") < F.col("_below")).select("text", "_l")
 
     def count(batches):
-        sums = np.zeros((len(langs), BUCKETS))
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
             for x in row_chunks(b, "text"):
                 h, n = _trigrams(texts_of(x, "text"))
-                row = np.repeat([langs.index(v) for v in x.column("declared").to_pylist()], n).astype(np.int64)
-                sums += np.bincount(row * BUCKETS + h, minlength=sums.size).reshape(sums.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f4").tobytes()], pa.binary())], names=["sums"])
+                row = np.repeat(x.column("_l").to_numpy(), n)
+                for i in np.unique(row).tolist():
+                    sums[i] = sums.get(i, 0) + np.bincount(h[row == i], minlength=BUCKETS)
+        for i, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.astype("<f4").tobytes()], pa.binary())], names=["l", "sums"])
 
-    total_counts = np.zeros((len(langs), BUCKETS))
-    for r in sample.coalesce(4).mapInArrow(count, "sums binary").collect():
-        total_counts += np.frombuffer(r[0], "<f4").reshape(total_counts.shape)
-    smooth = total_counts + 0.1
-    return langs, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.full((len(langs), BUCKETS), 0.1, np.float32)
+    for r in sample.coalesce(4).mapInArrow(count, "l int, sums binary").toLocalIterator():
+        table[r[0]] += np.frombuffer(r[1], "<f4")
+    table /= table.sum(axis=1, keepdims=True, dtype=np.float64)
+    return langs, np.log(table)
 
 
 def identify(rows: DataFrame, keys: list[str], *, text: str = "text", declared: str | None = None, host: str | None = None, suffix: Column | None = None,
@@ -73,10 +79,10 @@ def identify(rows: DataFrame, keys: list[str], *, text: str = "text", declared:
     """keys, language, posterior, text_language, n_trigrams, accepted for each row."""
     none = F.lit(None).cast("string")
     docs = rows.select(*keys, F.col(text).cast("string").alias("text"), (F.col(declared).cast("string") if declared else none).alias("declared"), (F.col(host).cast("string") if host else none).alias("host"), (suffix if suffix is not None else none).alias("suffix"))
-    langs, table = fit_text(docs, sample_rows)
+    langs, table = fit_text(docs, keys, sample_rows)
     n = len(langs)
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))  # BUCKETS x at most MOST: bounded
+    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))  # 256 KB a language
 
     def score(batches):
         logp = sent.value
@@ -93,21 +99,22 @@ def identify(rows: DataFrame, keys: list[str], *, text: str = "text", declared:
     seen = materialize(docs.mapInArrow(score, T.StructType([*kept, T.StructField("n_trigrams", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])), "langid")
     if not n:
         return seen.select(*keys, none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), "n_trigrams", F.lit(False).alias("accepted"))
-    # At most MOST languages: what is known about each is small and goes into the plan as literals.
     best = F.when(F.col("n_trigrams") > 0, (F.array_position("ll", F.array_max("ll")) - 1).cast("int"))
     seen = seen.withColumn("t", best)
-    known = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNull(), F.lit("")).otherwise(F.lit("?"))
-    seen = seen.withColumn("d", known)
-    counted = seen.where(F.col("t").isNotNull()).groupBy("d", "t").count().collect()  # (MOST + 2) * MOST rows at most
-    values = [*langs, "", "?"]
-    confusion = np.full((len(values), n), 0.5)
+    # Places of declared languages; then null, then those without a usable row.
+    places = docs.sparkSession.createDataFrame([*zip(langs, range(n), strict=True)], "declared string, _d int")
+    seen = seen.join(F.broadcast(places), "declared", "left").withColumn("d", F.coalesce("_d", F.when(F.col("declared").isNull(), n).otherwise(n + 1))).drop("_d")
+    counted = seen.where(F.col("t").isNotNull()).groupBy("d", "t").count().collect()  # pairs of languages
+    confusion = np.full((n + 2, n), 0.5)
     for d, t, c in counted:
-        confusion[values.index(d), t] += c
+        confusion[d, t] += c
     overall = np.log(confusion.sum(axis=0) / confusion.sum())
     reliable = np.log(confusion / confusion.sum(axis=0))
-    one_hot = [F.sum((F.col("t") == j).cast("long")).cast("double") for j in range(n)]
-    by_suffix = seen.where(F.col("t").isNotNull()).groupBy("suffix").agg(F.array(*one_hot).alias("ns"))
-    by_host = seen.where(F.col("t").isNotNull()).groupBy("host", "suffix").agg(F.array(*one_hot).alias("nh"))
+    by_language = seen.where(F.col("t").isNotNull()).groupBy("host", "suffix", "t").agg(F.count("*").cast("double").alias("c"))
+    listed = lambda: F.map_from_entries(F.collect_list(F.struct("t", "c")))
+    whole = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.try_element_at(c, j), F.lit(0.0)))
+    by_suffix = by_language.groupBy("suffix", "t").agg(F.sum("c").alias("c")).groupBy("suffix").agg(whole(listed()).alias("ns"))
+    by_host = by_language.groupBy("host", "suffix").agg(whole(listed()).alias("nh"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
     p_suffix = F.zip_with("ns", literal(np.exp(overall)), lambda c, p: (c + F.lit(kappa) * p) / (total(F.col("ns")) + F.lit(kappa)))
@@ -119,8 +126,9 @@ def identify(rows: DataFrame, keys: list[str], *, text: str = "text", declared:
     )
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("ll", "n_trigrams"), F.lit(salts)).cast("int"))
     joined = seen.join(priors, F.expr("host <=> h2 and suffix <=> s2 and salt = salt2"), "left")
-    rel = F.element_at(F.create_map(*[x for v, r in zip(values, reliable, strict=True) for x in (F.lit(v), literal(r))]), F.col("d"))
-    zipped = F.arrays_zip(F.col("ll"), F.coalesce("lp", literal(overall)).alias("lp"), rel.alias("rel"))
+    rel = docs.sparkSession.createDataFrame([(i, r.tolist()) for i, r in enumerate(reliable)], "d int, rel array<double>")
+    joined = joined.join(F.broadcast(rel), "d")
+    zipped = F.arrays_zip(F.col("ll"), F.coalesce("lp", literal(overall)).alias("lp"), F.col("rel"))
     logs = F.transform(zipped, lambda x: F.lit(temper) * x["ll"] + x["lp"] + x["rel"])
     fused = joined.withColumn("logs", logs)
     top = F.array_max("logs")

@@ -281,6 +281,18 @@ def test_language(spark, empty):
     assert langid.identify_pages(pages).where("accepted").count() > 0.9 * pages.count()
 
 
+def test_rare_languages_are_modelled(spark):
+    """Neither a small share of rows nor many languages keep a declared language from its own model."""
+    rng = np.random.default_rng(7)
+    alphabets = [[f"{a}{b}{c}" for a, b, c in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (40, 3))] for _ in range(80)]
+    say = lambda i: " ".join("".join(rng.choice(alphabets[i], 2)) for _ in range(60))
+    rows = [(i, say(0), "l00", "h") for i in range(2000)] + [(10_000 + 10 * i + j, say(i), f"l{i:02d}", "h") for i in range(1, 80) for j in range(5)]
+    rows += [(20_000 + i, say(i), None, "h") for i in range(80)]
+    got = {r["doc_id"]: r for r in langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[d]["language"] == v and got[d]["accepted"] for d, _, v, _ in rows[:-80])
+    assert all(got[20_000 + i]["language"] == f"l{i:02d}" for i in range(80))
+
+
 def test_urls(spark):
     link = lambda *u: "".join(f'<a href="{x}">' for x in u)
     rows = [(1, "http://A.org/fr/x?q#z", link("http://good.com/")), (2, "http://good.com/", link("http://fine.com/a")), (3, "http://fine.com/b", None), (4, "https://b.net/x", None), (5, "http://farm.com/", link("https://b.net/x")),
