@@ -31,7 +31,7 @@ ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "account", "bare", "endpoint")
 
 ACCOUNT = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])", re.A)
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", re.A)
 ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.-]+(?::\d+)?)""", re.I | re.A)
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 
