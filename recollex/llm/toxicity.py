@@ -17,6 +17,11 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,6 +165,34 @@ def _weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w * w).sum())
 
 
+@dataclass
+class Examples:
+    """The sample's texts as places of words and times, from which each Python process makes the index: a fifth of its size
+    is sent and stored."""
+
+    idf: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray
+    times: np.ndarray
+    ids: np.ndarray
+    toxic: np.ndarray
+    counts: np.ndarray
+
+    def __getstate__(self):
+        kept = {k: v for k, v in self.__dict__.items() if k != "index"} | {"terms": self.terms.astype(np.int32), "times": self.times.astype(np.int32)}
+        return zlib.compress(pickle.dumps(kept, 5), 6)
+
+    def __setstate__(self, state) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        rows, terms = np.repeat(np.arange(len(self.ids)), self.sizes), self.terms.astype(np.int64)
+        w = (1.0 + np.log(self.times)) * self.idf[terms]
+        w /= np.sqrt(np.bincount(rows, w * w, minlength=len(self.ids)))[rows]
+        return BlockMaxIndex((rows, terms, w, len(self.idf)), self.ids, self.toxic, self.counts)
+
+
 def _bags(texts: list[bytes], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of the texts (of the sorted vocabulary: their places there), times, and distinct words a text."""
     h, n = word_hashes(texts)
@@ -243,14 +276,12 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     df = np.zeros(len(vocabulary))
     df[at[at >= 0]] = n[at >= 0]
     idf = (np.log((n[at < 0].sum() + 1.0) / (df + 1.0)) + 1.0) * (1.0 + np.maximum(0.0, np.log(lift)))
-    has = np.bincount(row, minlength=len(example)) > 0
-    w = (1.0 + np.log(tf)) * idf[term]
-    w /= np.sqrt(np.bincount(row, w * w, minlength=len(example)))[row]
-    index = BlockMaxIndex(((np.cumsum(has) - 1)[row], term, w, len(vocabulary)), example[has], toxic[has], counts[has])
-    sent = spark.sparkContext.broadcast((index, idf))
+    sizes = np.bincount(row, minlength=len(example))
+    has = sizes > 0
+    sent = spark.sparkContext.broadcast(Examples(idf, sizes[has], term, tf, example[has], toxic[has], counts[has]))
 
     def votes(batches):
-        vocabulary, (index, idf) = sent_words.value, sent.value
+        vocabulary, index, idf = sent_words.value, sent.value.index, sent.value.idf
         for b in batches:
             raw = []
             for d, h, f in zip(b.column("doc_id").to_pylist(), b.column("words"), b.column("tf"), strict=True):
@@ -267,7 +298,7 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     without = float(((toxic * counts)[~has].sum() + 0.5 * share) / (counts[~has].sum() + 0.5))
 
     def judge(batches):
-        vocabulary, (index, idf) = sent_words.value, sent.value
+        vocabulary, index, idf = sent_words.value, sent.value.index, sent.value.idf
         empty = (b"", b"")
         kept: dict = {empty: (without, [])}
         for b in batches:
