@@ -302,19 +302,73 @@ def test_rare_languages_are_modelled(spark):
     assert all(got[20_000 + i]["language"] == f"l{i:02d}" for i in range(80))
 
 
-def test_urls(spark):
+def by_power_iteration(rows, rules_of, damping):
+    """trust, distrust of every host by dense matrices, what hosts without a way out hold given back to the seeds."""
+    host = lambda u: (u.partition("://")[2] if "://" in u else "")
+    name = lambda u: re.split(r"[/?#]", host(u or ""))[0].translate(UP)
+    edges, seeds = set(), Counter()
+    for i, u, h in set(rows):
+        for x in re.findall(r"""href="((?:\w+:)?//[^"]+)""", h or ""):
+            to = re.split(r"[/?#]", x.partition("//")[2])[0].translate(UP)
+            if name(u) and to and to != name(u):
+                edges.add((name(u), to))
+    hosts = {name(u) for _, u, _ in rows} - {""} | {x for e in edges for x in e}
+    for h in list(hosts):
+        while h.count(".") > 1 and not re.fullmatch(r"[0-9.:]+", h):
+            up = h.partition(".")[2]
+            edges |= {(h, up), (up, h)}
+            hosts.add(up)
+            h = up
+    for _, u, _ in rows:
+        seeds[name(u), rules_of(u)] += 1
+    order, out = sorted(hosts), []
+    at = {h: i for i, h in enumerate(order)}
+    for verdict, turned in (("allow", False), ("block", True)):
+        m = np.zeros((len(order), len(order)))
+        for a, b in edges:
+            m[(at[b], at[a]) if turned else (at[a], at[b])] = 1
+        s = np.array([seeds[h, verdict] for h in order], float)
+        s /= max(1, s.sum())
+        n, r = m.sum(axis=1), s.copy()
+        for _ in range(400):
+            r = (1 - damping) * s + damping * ((np.divide(r, n, where=n > 0, out=np.zeros_like(r)) @ m) + r[n == 0].sum() * s)
+        out.append(dict(zip(order, r)))
+    return out
+
+
+def test_urls(spark, monkeypatch):
     link = lambda *u: "".join(f'<a href="{x}">' for x in u)
-    rows = [(1, "http://A.org/fr/x?q#z", link("http://good.com/")), (2, "http://good.com/", link("http://fine.com/a")), (3, "http://fine.com/b", None), (4, "https://b.net/x", None), (5, "http://farm.com/", link("https://b.net/x")),
-            (6, "https://m.q.example.net/en/1", None), (7, "https://example.net/de", None), (8, None, None), (9, "nothing", None), (10, "http://x.example.com/de/", None), (11, "http://notnet/", None), (12, "http://b.net", None), (12, "http://b.net", None), (13, "ftp://h://x", "")]
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [(1, "http://A.org/fr/x?q#z", link("http://good.com/")), (2, "http://good.com/", link("http://fine.com/a", "/own", "x.html")), (3, "http://fine.com/b", None), (4, "https://b.net/x", None), (5, "http://farm.com/", link("//b.net/x")),
+            (6, "https://m.q.example.net/en/1", None), (7, "https://example.net/de", None), (8, None, None), (9, "nothing", None), (10, "http://x.example.com/de/", None), (11, "http://notnet/", None), (12, "http://b.net", None), (12, "http://b.net", None), (13, "ftp://h://x", ""),
+            (14, "http://shop.x.example.com/a", None), (15, "http://other.example.com/" + "long/" * 50_000, None), (16, "http://10.0.0.1/x", None), (None, "http://good.com/", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "rule", "trust", "src", "chunk", "salt"):
+        d = d.withColumn(name, F.lit("x"))
+    monkeypatch.setattr(linkgraph, "LEAST_CHUNK", 2)  # hosts of several edges are split
+    table = linkgraph.judge(d, residual=1e-9).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in table}
+    assert len(table) == len(rows)
     assert got[1] == ("a.org", "/fr/x", "org/fr/", "allow") and got[2] == ("good.com", "/", None, "allow") and got[3][3] == "allow"
     assert got[4] == ("b.net", "/x", "net/", "block") and got[5] == ("farm.com", "/", None, "block")
     assert got[6] == ("m.q.example.net", "/en/1", "example.net/en/", "allow") and got[7] == ("example.net", "/de", "net/", "block")
     assert got[8] == got[9] == ("", "", None, "allow") and got[10][2:] == ("example.com/de/", "block") and got[11] == ("notnet", "/", None, "allow")
     assert got[12][:3] == ("b.net", "", None) and got[13] == ("h:", "//x", None, "allow")
+    assert got[14][3] == "block" and got[16] == ("10.0.0.1", "/x", None, "allow")  # a subdomain of a blocked site
+    verdicts = {u: v[3] if v[2] else None for (i, u, _), v in ((r, got[r[0]]) for r in rows)}
+    trust, distrust = by_power_iteration(rows, verdicts.get, 0.75)
+    for r in table:
+        assert abs(r["trust"] - trust.get(r["host"], 0)) < 1e-6 and abs(r["distrust"] - distrust.get(r["host"], 0)) < 1e-6
+        if not r["rule"] and r["host"]:
+            assert (r["verdict"] == "block") == (distrust[r["host"]] > trust[r["host"]] + 1 / len(trust))
     assert linkgraph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_hosts_have_edges(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    edges = linkgraph.host_edges(pages.select(linkgraph.host_of(F.col("url")).alias("host"), "html"))
+    assert edges.count() > pages.count() and edges.where("src = dst").count() == 0
+
+
 def test_topk(spark):
     rng = np.random.default_rng(6)
     v = [(i, rng.normal(size=5 if i % 7 else 3).round(1).tolist()) for i in range(130)]
