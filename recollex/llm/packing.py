@@ -2,11 +2,14 @@
 
 Deficit round-robin: every source of a lane is a queue of documents. For each window (one sequence) each source that
 still has tokens earns its target share of the window and is served up to what it has earned; what is over or missing
-stays in its deficit for the next window. Lanes are hash groups of documents of bounded size, packed side by side. A lane
-starts with what its sources are owed by all earlier lanes; that debt is paid back over its windows at a bounded rate.
+stays in its deficit for the next window. Lanes are groups of documents, by a hash of id, text and input partition, of about
+`lane_bytes` or one document; they are packed side by side. A lane starts with what its sources are owed by all earlier
+lanes; that debt is paid back over its windows at a bounded rate.
 
 Defined cases: null text is empty (only the end id); null doc_id stays null; null source is a queue of its own; repeated
-rows are packed once each; an empty table gives no rows; other columns are ignored.
+rows are packed once each, and rows that share a doc_id, null ones too, are dealt to lanes by their texts, equal texts by
+their input partitions; texts of any length and any run of white space have the file's ids; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string())])
 # Fixed value: how byte-level files split text before their merges.
@@ -54,7 +59,11 @@ class Encoder:
             return b""
         if self.fast is None or any(x in text for x in self.added):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # a run of white space beyond what its pattern can step back over
+            ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids)
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 def _rank_encoder(spec: dict, added: list[str]):
@@ -140,6 +149,21 @@ def pieces(names: list, queues: dict, plan: list[list[tuple[int, int]]], first_s
     return pa.concat_tables(parts)
 
 
+def _before(sums: DataFrame, column: str, by: list[str], block: int = 1024) -> DataFrame:
+    """sums with `<column>_before`: the total of the column over all smaller lanes (with the same `by`). Blocks of lanes are
+    added up first, so that no task orders all lanes."""
+    sums = sums.withColumn("block", F.floor(F.col("lane") / block))
+    inside = W.partitionBy("block", *by).orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = sums.groupBy("block", *by).agg(F.sum(column).alias("x")).select(F.col("block").alias("k"), *[F.col(c).alias(f"k_{c}") for c in by], F.sum("x").over(across).alias("earlier"))
+    met = F.col("block") == F.col("k")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = sums.withColumn("here", F.sum(column).over(inside)).join(blocks, met)
+    return out.select(*[c for c in sums.columns if c != "block"], (zero(F.col("here")) + zero(F.col("earlier"))).alias(f"{column}_before"))
+
+
 def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 0, width: int = 1024, target: Mapping[str, float] | None = None,
          lane_bytes: int = 16 << 20, least_piece: int = 32, pay_rate: float = 0.1) -> DataFrame:
     """Pieces of documents in sequences. target: source to share of tokens (default: the share of bytes that it has in
@@ -148,11 +172,11 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 0,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
     size = F.octet_length("text") + F.lit(3)
     lanes = max(1, -(-(docs.agg(F.sum(size)).first()[0] or 0) // lane_bytes))
-    docs = docs.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
-    sums = docs.groupBy("lane", "source").agg(F.sum(size).alias("b"))
+    # One id may stand in many rows, and one text too: the input partition (the same in both passes) splits those.
+    docs = docs.withColumn("lane", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(lanes)))
+    sums = materialize(docs.groupBy("lane", "source").agg(F.sum(size).alias("b")), "pack-sums")
     by_lane = sums.groupBy("lane").agg(F.sum("b").alias("t"))
-    before = by_lane.select(F.col("lane").alias("l2"), F.coalesce(F.sum("t").over(W.orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("t_before"))
-    own = W.partitionBy("source").orderBy("lane").rangeBetween(W.unboundedPreceding, -1)
+    before = _before(by_lane, "t", []).select(F.col("lane").alias("l2"), F.col("t_before"))
     every = sums.groupBy(F.col("source").alias("s2")).agg(F.sum("b").alias("b_all"))
     total = sums.agg(F.sum("b")).first()[0] or 1
     if target is None:
@@ -161,7 +185,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 0,
         pairs = [F.lit(x) for kv in target.items() for x in kv]
         share = F.coalesce(F.element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0)) if pairs else F.lit(0.0)
     owed = (
-        sums.withColumn("b_before", F.coalesce(F.sum("b").over(own), F.lit(0))).join(every, F.expr("source <=> s2")).join(before, F.expr("lane = l2"))
+        _before(sums, "b", ["source"]).join(every, F.expr("source <=> s2")).join(before, F.expr("lane = l2"))
         .select(F.col("lane").alias("owed_lane"), F.col("source").alias("owed_source"), "b", share.cast("double").alias("share"), (F.col("t_before") * share - F.col("b_before")).cast("double").alias("owed"))
     )
 
@@ -177,7 +201,8 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 0,
         facts = {s: (sh, ow) for s, sh, ow in zip(right.column("owed_source").to_pylist(), right.column("share").to_pylist(), right.column("owed").to_pylist(), strict=True)}
         supply = np.array([sum(len(b) for _, b in queues[s]) // 4 for s in names])
         per_byte = supply.sum() / max(1, sum(right.column("b").to_pylist()))
-        plan = serve(supply, np.array([facts[s][0] for s in names]), np.array([facts[s][1] * per_byte for s in names]), width, least_piece, pay_rate)
+        none = (0.0, 0.0)
+        plan = serve(supply, np.array([facts.get(s, none)[0] for s in names]), np.array([facts.get(s, none)[1] * per_byte for s in names]), width, least_piece, pay_rate)
         return pieces(names, queues, plan, lane << 32)
 
     return docs.groupBy("lane").cogroup(owed.groupBy("owed_lane")).applyInArrow(run, SCHEMA)

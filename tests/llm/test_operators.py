@@ -404,6 +404,32 @@ def test_packing(docs, empty):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_any_text(spark):
+    """Long runs of white space and letters, many rows of one id (null too), many equal rows."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    hard = [" " * 2_000_000 + "a", "\n" * 1_500_000, "x" * 1_000_000, "a" + " \n" * 700_000 + "b\u00a0" * 10]
+    rows = [(i, t, "s") for i, t in enumerate(hard)] + [(None, f"text {i} " * 40, None) for i in range(400)] + [(77, "same words " * 40, "s")] * 300
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), lane_bytes=20_000).collect()
+    for d, t in enumerate(hard):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        own = sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["start"])
+        assert sum(r["length"] for r in own) == len(ids) == own[0]["doc_tokens"]
+        assert all(zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in own)
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == sum(n(t) for d, t, _ in rows if d is None)
+    assert sum(r["length"] for r in got if r["doc_id"] == 77) == 300 * n(rows[-1][1])
+    assert len({r["sequence_id"] >> 32 for r in got if r["doc_id"] is None}) > 3 and len({r["sequence_id"] >> 32 for r in got if r["doc_id"] == 77}) > 2
+
+
+def test_debts_are_prefix_sums(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(lane), s, int(rng.integers(1, 100))) for lane in range(50) for s in ("a", None) if rng.random() < 0.8]
+    d = spark.createDataFrame(rows, "lane long, source string, b long")
+    same(packing._before(d, "b", ["source"], block=7), [(l, s, b, sum(y for k, t, y in rows if k < l and t == s)) for l, s, b in rows], "lane", "source", "b", "b_before")
+
+
 def test_windows_meet_targets():
     supply, share = np.array([200_000, 60_000, 40_000]), np.array([0.5, 0.3, 0.2])
     for debt in (np.zeros(3), np.array([3e5, -2e5, -1e5])):
