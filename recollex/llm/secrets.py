@@ -3,12 +3,20 @@
 Base spans come from three fixed patterns. Linking then looks for the parts of one credential: identifiers (access ids
 and named accounts), secrets (the base spans and bare strings of high entropy) and endpoints (addresses). Parts are joined
 as intervals: two parts belong together if they stand in one scope (a block of text without an empty line) and no more
-than `reach` code points apart. Weak candidates (names of accounts, bare strings, endpoints) are reported only when the
-parts that complete them stand there too; base spans always are. A document's parts never leave its row, so the join is
-a sorted sweep inside the row and nothing is shuffled.
+than `reach` code points apart. Parts are disjoint, so that no string completes itself: what overlaps a base span is no
+other part, an endpoint overlaps no account, a bare string neither. Weak candidates (names of accounts, bare strings,
+endpoints) are reported only when the parts that complete them stand there too; base spans always are:
 
-Defined cases: null text is empty; null doc_id stays; repeated rows are judged once each; an empty table gives no rows;
-other columns are carried along by scan() and dropped by its digest.
+    account     with a secret, and with an assigned or hex secret or an endpoint
+    bare string with an identifier, and with an access id or an endpoint
+    endpoint    with an identifier and a secret
+
+Scopes lie inside documents, so a document's parts never leave its row: the join is a sorted sweep inside the row and
+nothing is shuffled, whatever a document or source holds.
+
+Defined cases: null text is empty; null doc_id stays; repeated rows are judged once each; texts and parts of any length; an
+empty table gives no rows; scan() carries other columns along (one named `found` gives way to its own), the digest drops
+them.
 """
 
 from __future__ import annotations
@@ -32,7 +40,8 @@ KINDS = ("assign", "access", "hex", "account", "bare", "endpoint")
 
 ACCOUNT = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", re.A)
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.-]+(?::\d+)?)""", re.I | re.A)
+ADDRESS = re.compile(r"""://[^\s"'<>]{4,}""")
+HOST = re.compile(r"""\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.-]+(?::\d+)?""", re.I | re.A)
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -46,6 +55,37 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def endpoints(text: str) -> list[Span]:
+    """Addresses with a scheme, and named hosts; leftmost first, not overlapping."""
+    out = [(m.start(), 5, m.end()) for m in HOST.finditer(text)]
+    for m in ADDRESS.finditer(text):
+        # The scheme is what stands before, back to the last character that can't be in one, from its first letter.
+        at = m.start()
+        while at and (text[at - 1] in "+.-" or text[at - 1].isascii() and text[at - 1].isalnum()):
+            at -= 1
+        while at < m.start() and not text[at].isalpha():
+            at += 1
+        if at < m.start():
+            out.append((at, 5, m.end()))
+    return _disjoint(sorted(out), [])
+
+
+def _disjoint(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans, in order, that overlap none of taken, nor one before them."""
+    starts, ends, most = [], [], 0
+    for s, _, e in sorted(taken):
+        most = max(most, e)
+        starts.append(s)
+        ends.append(most)
+    out, last = [], 0
+    for x in spans:
+        i = bisect_left(starts, x[2])
+        if x[0] >= last and (i == 0 or ends[i - 1] <= x[0]):
+            out.append(x)
+            last = x[2]
+    return out
+
+
 def _entropy(s: str) -> float:
     n = len(s)
     return -sum((c := s.count(x)) / n * math.log2(c / n) for x in set(s))
@@ -57,18 +97,11 @@ def _bare(s: str) -> bool:
 
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     """The weak candidates that complementary parts complete."""
-    account = [(m.start(), 3, m.end()) for m in ACCOUNT.finditer(text)]
-    endpoint = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    account = _disjoint([(m.start(), 3, m.end()) for m in ACCOUNT.finditer(text)], base)
+    endpoint = _disjoint(endpoints(text), base + account)
     if not account and not endpoint and not any(k == 1 for _, k, _ in base):
         return []  # without an identifier or endpoint no bare string can be completed
-    bare = [(m.start(), 4, m.end()) for m in BARE.finditer(text) if _bare(m[0])]
-    taken = sorted((s, e) for s, _, e in base)
-
-    def free(x: Span) -> bool:
-        i = bisect_left(taken, (x[2],))
-        return i == 0 or taken[i - 1][1] <= x[0]
-
-    account, endpoint, bare = (sorted(filter(free, y)) for y in (account, endpoint, bare))
+    bare = _disjoint([(m.start(), 4, m.end()) for m in BARE.finditer(text) if _bare(m[0])], base + account + endpoint)
     cuts = [m.start() for m in SCOPE.finditer(text)]
     scope = lambda p: bisect_left(cuts, p)
 
