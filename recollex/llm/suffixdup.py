@@ -10,10 +10,13 @@ start): its window's longest previous factor is at least that long. Only windows
 2. Dealt by the k-gram's hash, all but the earliest of equal contexts are settled; an anchor with several contexts (at the
    edges of repeats) is to be sorted, one row for each context.
 3. The contexts of those are fetched from the texts, dealt by k-gram and sorted as suffixes cut at `least` bytes, ties by
-   position. In this order the previous smaller position of a suffix with an equal string is its neighbour, and no next
-   smaller one can be equal; where the neighbour agrees on `least` bytes, the longest previous factor reaches it.
+   position. Common prefixes of neighbours are counted in bytes; previous and next smaller positions in this order, with
+   the least common prefix on the way, give the longest previous factor of each suffix. A window goes if it has all bytes.
 
-Hashes of k-gram and context (128 bits together) decide in step 2; step 3 compares bytes.
+A k-gram with very many contexts (more than a bounded part of all) is split by context in steps 2 and 3, as no task could
+hold it; the windows that are first in their part then meet in a fourth step, dealt by a hash of the window.
+
+Hashes of k-gram and context (128 bits together) decide in step 2, of k-gram and window in step 4; step 3 compares bytes.
 
 Defined cases: null text is empty; texts shorter than `least` bytes stay whole; repeated rows (same doc_id and text) are
 one document and get the same result each; rows with null doc_id, and rows that share a doc_id but not the text, stay whole
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64, row_chunks, texts_of
 
 KGRAM = 32
+#: A k-gram is split if it has more contexts than this and than a HOT_PARTS-th of all; tasks report those with HOT_HERE or more.
+HOT_LEAST, HOT_PARTS, HOT_HERE = 512, 4096, 8
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _up = np.ones(1, np.uint64)
@@ -99,8 +104,56 @@ def _concat(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def suffix_repeats(doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, kh: np.ndarray, contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """doc, start of the windows whose longest previous factor among the contexts is at least `least` bytes."""
+def _smaller(pos: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place the least of `common` on the way back to the nearest place of a smaller position; common[i] is between
+    i - 1 and i. A way on which it falls to 0 ends there."""
+    at, least = np.arange(-1, len(pos) - 1), common.copy()
+    if len(pos):
+        least[0] = 0
+    open_ = np.flatnonzero(least > 0)
+    open_ = open_[pos[at[open_]] > pos[open_]]
+    while len(open_):  # what lies between i and at[i] is larger than i's position, so a step over at[i]'s own way is safe
+        over = at[open_]
+        least[open_] = np.minimum(least[open_], least[over])
+        at[open_] = at[over]
+        open_ = open_[(least[open_] > 0) & (at[open_] >= 0)]
+        open_ = open_[pos[at[open_]] > pos[open_]]
+    return np.where(at >= 0, least, 0)
+
+
+def previous_factors(pos: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in sorted order: pos, their positions (distinct); common, the length of the
+    prefix that each shares with the one before it."""
+    after = np.append(common[1:], 0)
+    return np.maximum(_smaller(pos, common), _smaller(pos[::-1], after[::-1])[::-1])
+
+
+def _common_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, offs: list[int], least: int) -> np.ndarray:
+    """How many of the first `least` bytes at places a and b are the same; words holds 8 bytes of each place."""
+    out = np.full(len(a), least, np.int64)
+    open_ = np.arange(len(a))
+    for o in offs:
+        differ = words[a[open_] + o] ^ words[b[open_] + o]
+        here = differ != 0
+        out[open_[here]] = o + sum((differ[here] < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+        open_ = open_[~here]
+    return out
+
+
+def _offsets(least: int) -> list[int]:
+    """Where 8-byte words that cover `least` bytes begin."""
+    return [*range(0, least - 8, 8), least - 8]
+
+
+def window_hashes(words: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
+    h = np.zeros(len(places), np.uint64)
+    for o in _offsets(least):
+        h = mix64(h * np.uint64(_P) + words[places + o])
+    return h
+
+
+def suffix_repeats(doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, contexts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """Of each window of the contexts: context, start, longest previous factor (in its group), place; and the words there."""
     block = np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8)
     sizes = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -110,27 +163,26 @@ def suffix_repeats(doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarr
     n = hi - lo + 1
     who = np.repeat(np.arange(len(doc)), n)
     j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    start, place = lo[who] + j, begin[who] + j
-    offset = at[who] - start
-    # Equal windows have equal k-gram and offset, so suffixes are sorted in these buckets; the first words split them further.
-    offs = [*range(0, least - 8, 8), least - 8]
-    bucket = mix64(kh[who] + offset.astype(np.uint64))
+    start, place, owner = lo[who] + j, begin[who] + j, doc[who]
+    # Equal windows have equal group and offset of the anchor, so suffixes are sorted in these buckets.
+    bucket = mix64(group[who] + (at[who] - start).astype(np.uint64))
+    offs = _offsets(least)
+    factor = np.zeros(len(who), np.int64)
     order = np.argsort(bucket, kind="stable")
     same = bucket[order][1:] == bucket[order][:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    order = order[shared]  # a bucket of one suffix repeats nothing
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    who, start, place, bucket = who[order], start[order], place[order], bucket[order]
-    order = np.lexsort((start, doc[who], *[words[place + o] for o in reversed(offs)], bucket))
-    who, start, place, bucket = who[order], start[order], place[order], bucket[order]
-    equal = bucket[1:] == bucket[:-1]
-    for o in offs:
-        equal &= words[place[1:] + o] == words[place[:-1] + o]
-    # A repeated row's own copy is no earlier start: the run's first position decides.
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], ~equal]), np.arange(len(who)), 0))
-    differs = (doc[who] != doc[who][head]) | (start != start[head])
-    return doc[who][differs], start[differs]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # a bucket of one suffix repeats nothing
+    if len(order):
+        position = np.lexsort((start[order], owner[order]))
+        rank = np.empty(len(order), np.int64)
+        moved = np.concatenate([[False], (np.diff(owner[order][position]) != 0) | (np.diff(start[order][position]) != 0)])
+        rank[position] = np.cumsum(moved)  # copies of a repeated row are one position
+        by = np.lexsort((rank, *[words[place[order] + o] for o in reversed(offs)], bucket[order]))
+        order, rank = order[by], rank[by]
+        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (bucket[order][1:] != bucket[order][:-1])])
+        first = order[new]
+        common = np.concatenate([[0], np.where(bucket[first][1:] == bucket[first][:-1], _common_bytes(words, place[first][:-1], place[first][1:], offs, least), 0)])
+        factor[order] = previous_factors(rank[new], common)[np.cumsum(new) - 1]
+    return who, start, factor, place, words
 
 
 def removed_spans(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -153,7 +205,11 @@ def removed_spans(docs: DataFrame, least: int = 100) -> DataFrame:
             settled = (doc != doc[head]) | (at != at[head])
             d, s, e = merged(doc[settled], lo[settled], hi[settled] + least)
             first = np.flatnonzero(group)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d, doc[first]])), pa.array(np.concatenate([s, at[first]])), pa.array(np.concatenate([e, np.full(len(first), -1)])), pa.array(np.concatenate([np.zeros(len(d), np.int64), kh[first].astype(np.int64)])), pa.array(np.concatenate([np.zeros(len(d), np.int64), ch[first].astype(np.int64)]))], names=["doc", "lo", "end", "kh", "ch"])
+            many, times = np.unique(kh[first], return_counts=True)
+            many, times = many[times >= HOT_HERE], times[times >= HOT_HERE]
+            zero, none = np.zeros(len(d), np.int64), np.zeros(len(many), np.int64)
+            cols = ((d, doc[first], none), (s, at[first], times), (e, np.full(len(first), -1), none - 2), (zero, kh[first].astype(np.int64), many.astype(np.int64)), (zero, ch[first].astype(np.int64), none))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc", "lo", "end", "kh", "ch"])
 
         for b in batches:
             for x in row_chunks(b, "text", 1 << 20):
@@ -170,68 +226,101 @@ def removed_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     anchors = materialize(docs.mapInArrow(pre, "doc long, lo long, end long, kh long, ch long"), "sfx-anchors")
     spans.append(anchors.where("end >= 0").select("doc", "lo", "end"))
 
+    rows = anchors.count()
+    often = anchors.where("end = -2").groupBy("kh").agg(F.sum("lo").alias("n")).where(F.col("n") > max(HOT_LEAST, rows // HOT_PARTS))
+    hot = materialize(often.select("kh", F.lit(True).alias("hot")), "sfx-hot")  # HOT_PARTS rows at most
+    any_hot = hot.count() > 0
+    parts = 64 + rows // 1_000_000
+
     def settle(batches):
-        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "lo", "kh", "ch")) for b in batches if b.num_rows]
+        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "lo", "kh", "ch", "hot")) for b in batches if b.num_rows]
         if not held:
             return
-        doc, at, kh, ch = _concat(held)
+        doc, at, kh, ch, split = _concat(held)
         order = np.lexsort((at, doc, ch, kh))
-        doc, at, kh, ch = doc[order], at[order], kh[order], ch[order]
+        doc, at, kh, ch, split = doc[order], at[order], kh[order], ch[order], split[order].astype(bool)
         new_k = np.concatenate([[True], kh[1:] != kh[:-1]])
         new_c = new_k | np.concatenate([[True], ch[1:] != ch[:-1]])
         kgroup = np.cumsum(new_k) - 1
-        several = np.bincount(kgroup, new_c)[kgroup] > 1
+        several = (np.bincount(kgroup, new_c)[kgroup] > 1) | split
         head = np.maximum.accumulate(np.where(new_c, np.arange(len(doc)), 0))
         settled = (doc != doc[head]) | (at != at[head])
         out = settled | several
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(at[out].astype(np.int32)), pa.array(settled[out])], names=["doc", "at", "settled"])
+        # What becomes of it: 0 is settled, 1 to be sorted, 2 to be sorted in parts.
+        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(at[out].astype(np.int32)), pa.array(np.where(settled, 0, 1 + split)[out].astype(np.int8))], names=["doc", "at", "fate"])
 
-    judged = anchors.where("end < 0").select("doc", "lo", "kh", "ch").repartition(tasks, "kh").mapInArrow(settle, "doc long, at int, settled boolean")
-    by_doc = judged.groupBy("doc").agg(F.collect_set(F.struct("at", "settled")).alias("anchors"))  # a document's anchors at most
-    fetched = docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "anchors.at", "anchors.settled")
+    first = anchors.where("end = -1").select("doc", "lo", "kh", "ch")
+    first = first.join(F.broadcast(hot), "kh", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else first.withColumn("hot", F.lit(False))
+    judged = first.repartition(tasks, "kh", F.when(F.col("hot"), F.pmod("ch", F.lit(parts)))).mapInArrow(settle, "doc long, at int, fate byte")
+    by_doc = judged.groupBy("doc").agg(F.collect_set(F.struct("at", "fate")).alias("anchors"))  # a document's anchors at most
+    fetched = docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "anchors.at", "anchors.fate")
 
     def fetch(batches):
         for b in batches:
             for x in row_chunks(b, "text", 1 << 20):
                 texts = texts_of(x, "text")
                 ids = x.column("doc_id").to_numpy(zero_copy_only=False)
-                row, at, lo, hi, kh, _ = anchor_runs(texts, least)
+                row, at, lo, hi, kh, ch = anchor_runs(texts, least)
                 wide = int(max((len(t) for t in texts), default=0)) + 1
-                lists = x.column("at"), x.column("settled")
+                lists = x.column("at"), x.column("fate")
                 size = np.asarray(pc.list_value_length(lists[0]), np.int64)
                 want = np.repeat(np.arange(len(texts)), size) * wide + pc.list_flatten(lists[0]).to_numpy(zero_copy_only=False)
-                done = pc.list_flatten(lists[1]).to_numpy(zero_copy_only=False)
+                fate = pc.list_flatten(lists[1]).to_numpy(zero_copy_only=False)
                 order = np.argsort(want, kind="stable")
-                want, done = want[order], done[order]
+                want, fate = want[order], fate[order]
                 mine = row * wide + at
                 place = np.minimum(np.searchsorted(want, mine), max(0, len(want) - 1))
                 asked = want[place] == mine if len(want) else np.zeros(len(mine), bool)
-                full = asked & done[place] if len(want) else asked
+                full = asked & (fate[place] == 0) if len(want) else asked
                 d, s, e = merged(ids[row[full]], lo[full], hi[full] + least)
                 k = np.flatnonzero(asked & ~full)
+                part = np.where(fate[place[k]] == 2, 1 + (ch[k] % np.uint64(parts)).astype(np.int64), 0)
                 ctx = [texts[r][a:b + least] for r, a, b in zip(row[k], lo[k], hi[k], strict=True)]
                 zero = np.zeros(len(d), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([d, ids[row[k]]])), pa.array(np.concatenate([s, lo[k]])), pa.array(np.concatenate([e, hi[k]])), pa.array(np.concatenate([zero, at[k]])), pa.array(np.concatenate([zero, kh[k].astype(np.int64)])), pa.array([None] * len(d) + ctx, pa.binary())],
-                    names=["doc", "lo", "end", "at", "kh", "ctx"],
+                    [pa.array(np.concatenate([d, ids[row[k]]])), pa.array(np.concatenate([s, lo[k]])), pa.array(np.concatenate([e, hi[k]])), pa.array(np.concatenate([zero, at[k]])), pa.array(np.concatenate([zero, kh[k].astype(np.int64)])), pa.array(np.concatenate([zero, part])), pa.array([None] * len(d) + ctx, pa.binary())],
+                    names=["doc", "lo", "end", "at", "kh", "part", "ctx"],
                 )
 
-    fetched = materialize(fetched.mapInArrow(fetch, "doc long, lo long, end long, at long, kh long, ctx binary"), "sfx-contexts")
+    fetched = materialize(fetched.mapInArrow(fetch, "doc long, lo long, end long, at long, kh long, part long, ctx binary"), "sfx-contexts")
     spans.append(fetched.where("ctx is null").select("doc", "lo", "end"))
 
     def sort(batches):
         held, ctx = [], []
         for b in batches:
             if b.num_rows:
-                held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at", "lo", "end", "kh")))
+                held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at", "lo", "end", "kh", "part")))
                 ctx += b.column("ctx").to_pylist()
         if held:
-            doc, at, lo, hi, kh = _concat(held)
-            d, s = suffix_repeats(doc, at, lo, hi, kh.astype(np.uint64), ctx, least)
-            d, s, e = merged(d, s, s + least)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc", "lo", "end"])
-
-    spans.append(fetched.where("ctx is not null").repartition(tasks, "kh").mapInArrow(sort, "doc long, lo long, end long"))
+            doc, at, lo, hi, kh, part = _concat(held)
+            which = mix64(kh.astype(np.uint64) + part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            who, start, factor, place, words = suffix_repeats(doc, at, lo, hi, which, ctx, least)
+            gone = factor >= least
+            d, s, e = merged(doc[who[gone]], start[gone], start[gone] + least)
+            heads = np.flatnonzero(~gone & (part[who] > 0))  # of k-grams that are split
+            h, who = window_hashes(words, place[heads], least), who[heads]
+            zero = np.zeros(len(d), np.int64)
+            cols = ((d, doc[who]), (s, start[heads]), (e, np.full(len(heads), -1)), (zero, kh[who]), (zero, h.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc", "lo", "end", "kh", "wh"])
+
+    found = fetched.where("ctx is not null").repartition(tasks, "kh", "part").mapInArrow(sort, "doc long, lo long, end long, kh long, wh long")
+    if any_hot:
+        found = materialize(found, "sfx-sorted")
+
+        def meet(batches):
+            held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "lo", "kh", "wh")) for b in batches if b.num_rows]
+            if held:
+                doc, lo, kh, wh = _concat(held)
+                order = np.lexsort((lo, doc, wh, kh))
+                doc, lo, kh, wh = doc[order], lo[order], kh[order], wh[order]
+                new = np.concatenate([[True], (kh[1:] != kh[:-1]) | (wh[1:] != wh[:-1])])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+                later = (doc != doc[head]) | (lo != lo[head])
+                d, s, e = merged(doc[later], lo[later], lo[later] + least)
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc", "lo", "end"])
+
+        spans.append(found.where("end < 0").select("doc", "lo", "kh", "wh").repartition(tasks, "kh", "wh").mapInArrow(meet, "doc long, lo long, end long"))
+    spans.append(found.where("end >= 0").select("doc", "lo", "end"))
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)

@@ -303,6 +303,46 @@ def test_suffix_dedup(docs, empty):
     assert suffixdup.digest(empty).count() == 0
 
 
+def test_previous_factors():
+    """Against the definition: the longest prefix of a suffix that also starts earlier."""
+    rng = np.random.default_rng(3)
+    for n, letters in ((1, 2), (60, 1), (80, 2), (120, 3), (200, 26)):
+        t = bytes(rng.integers(97, 97 + letters, n).astype(np.uint8))
+        order = sorted(range(n), key=lambda i: t[i:])
+        shared = lambda a, b: next((k for k in range(n - max(a, b)) if t[a + k] != t[b + k]), n - max(a, b))
+        common = np.array([0] + [shared(a, b) for a, b in zip(order, order[1:], strict=False)])
+        got = suffixdup.previous_factors(np.array(order), common)
+        assert got.tolist() == [max((shared(i, j) for j in range(i)), default=0) for i in order]
+
+
+def test_suffix_dedup_splits_hot_passages(spark, monkeypatch):
+    """A passage that most documents hold, at other edges each time, is split by context and gives the same result."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    hot = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join([word() for _ in range(rng.integers(1, 30))] + [hot[rng.integers(0, 60):len(hot) - rng.integers(0, 60)]] + [word() for _ in range(20)])) for i in range(120)] + [(i, rows_text) for i, rows_text in ((200, hot), (201, hot), (202, "x" * 500))]
+    rows += [rows[3]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(tuple(r) for r in suffixdup.digest(d).collect())
+    seen = []
+    plain = suffixdup.materialize
+    monkeypatch.setattr(suffixdup, "materialize", lambda df, tag: seen.append((tag, (out := plain(df, tag)))) or out)
+    monkeypatch.setattr(suffixdup, "HOT_LEAST", 10)
+    monkeypatch.setattr(suffixdup, "HOT_HERE", 2)
+    monkeypatch.setattr(suffixdup, "HOT_PARTS", 1 << 30)
+    assert sorted(tuple(r) for r in suffixdup.digest(d).collect()) == want
+    assert dict(seen)["sfx-hot"].count() > 3 and dict(seen)["sfx-sorted"].where("end < 0").count() > 100
+    table, gone = {}, {}
+    for i, t in sorted(set(rows)):
+        b, cut = t.encode(), bytearray(len(t.encode()))
+        for s in range(len(b) - 99):
+            if b[s:s + 100] in table:
+                cut[s:s + 100] = b"\1" * 100
+            table.setdefault(b[s:s + 100], i)
+        gone[i] = sum(cut)
+    assert {r[0]: r[2] for r in want} == gone
+
+
 def test_language(spark, empty):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
     odd = spark.createDataFrame([(9001, None, "en", "h"), (9002, "", None, None), (9003, "1234 !!", "zz", "h"), (None, "the and of that with this", None, None)], d.schema)
