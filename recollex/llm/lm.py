@@ -1,42 +1,51 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-The most frequent OUTCOMES - 1 tokens are outcomes of the model, all others share one outcome. Outcomes are dealt to
-classes: P(token | h) = P(class | h) * P(outcome | class, h), each a softmax over weights of hashed features of the two
-tokens before: the bigram, the trigram and the skip (second token back), and a bias. A token of the shared outcome is then
-drawn by its smoothed count there, so every token, known or not, has a probability and they add up to 1.
+Every token has a cell: the most frequent ones have one each, all others share hashed ones. Cells are dealt to classes, and
 
-Training sees every training token: a pass over the texts adds up how often each outcome follows each pair of outcomes
-(at most OUTCOMES ** 3 sums, whatever the input), and each gradient update is a Spark job over these sums, split by pair,
-whose partial gradients are added up. Scoring gathers log probabilities for sparse numpy batches of (text, pair, outcome).
+    P(token | h) = P(class | h) * P(cell | class, h) * P(token | cell).
+
+The first two are softmaxes: the smoothed log count of the class (of the cell) plus weights of hashed features of the two
+tokens before, whatever tokens they are: bigram, skip (second token back) and trigram. The last is the token's smoothed
+share of its cell, which has room for one unknown token, so probabilities add up to 1. Cells, classes and weights grow with
+the vocabulary V: about V ** 0.4 cells, in as many classes as a class has cells, and rows of weights in proportion to
+classes.
+
+Training sees every training token once. Each of `rounds` distributed gradient updates is a Spark job over a slice of the
+training texts: a task starts from the weights so far, runs over its texts by minibatches (steps scaled by the root of a
+row's summed squared gradients), and sends what it changed in blocks; blocks are averaged side by side, each row by how
+often tasks met it. The number of tasks grows with the input, each with text enough for what it sends. Scoring gathers
+log probabilities in sparse numpy batches.
 
 Counts of tokens over the training texts are exact. The HEAD most frequent ones are broadcast (bounded); all others are
 joined to the texts that have them by a shuffle, in which no token is hot, as those are in the head.
 
-Defined cases: null text is empty (its end token only); null doc_id counts as id 0 for the fold; repeated rows are
-counted and scored once each; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is empty (its end token only); rows with null doc_id are not held out; repeated rows are counted
+and scored once each; tokens and texts of any length; an empty table gives no rows; with no training text all cells are
+alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, row_chunks, texts_of
 
-CLASSES, WIDE = 16, 16
-OUTCOMES = CLASSES * WIDE
-OTHER = OUTCOMES - 1
 HEAD = 1 << 16
 END = b"\n"  # no word holds white space
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 16
-PAIRS = OUTCOMES * OUTCOMES
+#: Tokens in a minibatch; blocks in which a table of weights is sent; least bytes of text for a training task.
+BATCH, BLOCKS, TASK_BYTES = 4096, 64, 32 << 20
+LEAST_TASKS = 8
+RATE = 0.5
+_U = np.uint64
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -48,46 +57,123 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds == fold if doc_id is not None else False
 
 
-def _rows(features: np.ndarray, salt: int, size: int) -> np.ndarray:
-    h = (features.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
-
-
-def feature_rows(pairs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the class table (pairs) and of the word table (pairs x classes) for bias, bigram, skip and trigram."""
-    last, second = pairs % OUTCOMES, pairs // OUTCOMES
-    feats = [np.zeros_like(pairs), last + 1, second + (1 << 12), pairs + (1 << 20)]
-    classes = np.arange(CLASSES)
-    return [_rows(f, 1, CLASS_ROWS) for f in feats], [_rows((f[:, None] * CLASSES + classes).ravel(), 2, WORD_ROWS).reshape(len(pairs), CLASSES) for f in feats]
-
-
-def _soft(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
-
-
-def log_probs(pairs: np.ndarray, wc: np.ndarray, ww: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log P(class | pair), and log P(outcome | class, pair) as pairs x CLASSES x WIDE."""
-    rc, rw = feature_rows(pairs)
-    return _soft(sum(wc[r] for r in rc)), _soft(sum(ww[r] for r in rw))
-
-
-def gradient(pairs: np.ndarray, counts: np.ndarray, wc: np.ndarray, ww: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Of the log likelihood of counts (pairs x OUTCOMES) in both tables, and that likelihood."""
-    lc, lw = log_probs(pairs, wc, ww)
-    n = counts.reshape(len(pairs), CLASSES, WIDE)
-    nc = n.sum(axis=2)
-    ec = nc - nc.sum(axis=1, keepdims=True) * np.exp(lc)
-    ew = n - nc[:, :, None] * np.exp(lw)
-    gc, gw = np.zeros_like(wc), np.zeros_like(ww)
-    rc, rw = feature_rows(pairs)
-    for r in rc:
-        np.add.at(gc, r, ec)
-    for r in rw:
-        np.add.at(gw, r.ravel(), ew.reshape(-1, WIDE))
-    return gc, gw, float((nc * lc).sum() + (n * lw).sum())
+def _is_held(folds: int, fold: int) -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
+
+
+def width_bits(vocabulary: int) -> int:
+    """Bits of the number of classes, which is that of cells in a class: 16 of 16 for 9,000 tokens, 32 of 32 up to 10 million."""
+    return max(4, int(np.log2(max(2, vocabulary)) / 5 + 1.35))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
+
+
+def features(last: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of bigram, skip and trigram features: 3 x tokens."""
+    return np.stack([_mixed(last * _U(8) + _U(1)), _mixed(second * _U(8) + _U(2)), _mixed((last * _U(0xC2B2AE3D27D4EB4F) + second) * _U(8) + _U(3))])
+
+
+def class_rows(h: np.ndarray, rows: int) -> np.ndarray:
+    return (h >> _U(65 - rows.bit_length())).astype(np.int64)
+
+
+def cell_rows(h: np.ndarray, classes: np.ndarray, rows: int) -> np.ndarray:
+    return (_mixed(h + classes.astype(_U) * _U(0x165667B19E3779F9)) >> _U(65 - rows.bit_length())).astype(np.int64)
+
+
+def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
+    z += prior
+    return z
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row of z at one place."""
+    most = z.max(axis=1)
+    own = z[np.arange(len(z)), at] - most
+    z -= most[:, None]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(axis=1))
+
+
+def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
+    """One step against `error`, the gradient in the logits of each token, for all feature rows of the tokens."""
+    at = rows.ravel()
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    own = at[first]
+    g = np.add.reduceat(error.take(order % len(error), axis=0), first, axis=0)
+    squares[own] += np.einsum("ij,ij->i", g, g)
+    met[own] += np.diff(np.append(first, len(at)))
+    g *= (rate / np.sqrt(squares[own] + 1e-3))[:, None]
+    weights[own] = weights.take(own, axis=0) - g
+
+
+@dataclass
+class Model:
+    """head: token to place by frequency; logs: log10 of 1 + count by place, and of 1; cells: cell by place; the first `own`
+    places have a cell each. room: log10 of 1 + tokens + distinct tokens of each cell (0 for cells of one token)."""
+
+    head: dict[bytes, int]
+    logs: np.ndarray
+    cells: np.ndarray
+    own: int
+    room: np.ndarray
+    class_prior: np.ndarray
+    cell_prior: np.ndarray
+    class_weights: np.ndarray
+    cell_weights: np.ndarray
+    total: int
+    distinct: int
+    least: int
+
+    @property
+    def classes(self) -> int:
+        return len(self.class_prior)
+
+    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Places (-1 beyond the head), cells and the two contexts of all tokens of the texts, and tokens a text. Before a
+        text stand two ends."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        flat = list(chain.from_iterable(texts))
+        place = np.fromiter(map(self.head.get, flat, repeat(-1)), np.int64, len(flat))
+        beyond = np.flatnonzero(place < 0)
+        crc = np.fromiter((zlib.crc32(flat[i]) for i in beyond.tolist()), np.int64, len(beyond))
+        cell = self.cells[place]
+        shared = len(self.room) // 2
+        cell[beyond] = shared + crc % shared
+        name = place.astype(_U)
+        name[beyond] = (crc + (1 << 32)).astype(_U)
+        start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.arange(len(flat))
+        end = _U(self.head[END]) if END in self.head else _U(zlib.crc32(END) + (1 << 32))
+        before = lambda k: np.where(at - k >= start, name[np.maximum(at - k, 0)], end)
+        return place, cell, before(1), before(2), lengths
+
+    def log_cells(self, cell: np.ndarray, last: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """log10 P(cell | the two tokens before)."""
+        out = np.empty(len(cell))
+        for i in range(0, len(cell), BATCH):
+            c = cell[i:i + BATCH]
+            h, cls = features(last[i:i + BATCH], second[i:i + BATCH]), c % self.classes
+            out[i:i + BATCH] = log_of(logits(self.class_weights, self.class_prior, class_rows(h, len(self.class_weights))), cls)
+            out[i:i + BATCH] += log_of(logits(self.cell_weights, self.cell_prior[cls], cell_rows(h, cls, len(self.cell_weights))), c // self.classes)
+        return out / np.log(10)
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -111,181 +197,152 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(train: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """pair, outcomes, counts: sums of what follows each pair of outcomes, over all training texts."""
-    sent = train.sparkSession.sparkContext.broadcast(ids)
-
-    def count(batches):
-        ids = sent.value
-        keys, sums, held = [], [], 0
-
-        def merged():
-            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inv, weights=np.concatenate(sums), minlength=len(k)).astype(np.int64)
-
-        for b in batches:
-            for x in row_chunks(b, "text"):
-                for key in [_events([tokens(t) for t in texts_of(x, "text")], ids)[0]]:
-                    k, n = np.unique(key, return_counts=True)
-                    keys.append(k)
-                    sums.append(n)
-                    held += len(k)
-                if held > 1_000_000:
-                    k, n = merged()
-                    keys, sums, held = [k], [n], 0 if len(k) < 500_000 else held
-                    if len(k) >= 2_000_000:
-                        yield from _out(k, n)
-                        keys, sums, held = [], [], 0
-        if keys:
-            yield from _out(*merged())
-
-    def _out(k, n):
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["event", "n"])
-
-    return train.mapInArrow(count, "event long, n long").groupBy("event").agg(F.sum("n").alias("n"))
-
-
-def _events(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """pair * OUTCOMES + outcome for each token of the texts, and tokens a text. Before a text stand two ends."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    flat = _looked_up(texts, ids, OTHER, int(lengths.sum()))
-    return _after_pairs(flat, lengths, ids.get(END, OTHER)), lengths
-
-
-def _looked_up(texts: list[list[bytes]], ids: dict[bytes, int], default: int, n: int) -> np.ndarray:
-    return np.fromiter(map(ids.get, chain.from_iterable(texts), repeat(default)), np.int64, n)
-
-
-def _after_pairs(flat: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    pos = np.arange(len(flat))
-    before = lambda k: np.where(pos - k >= start, flat[np.maximum(pos - k, 0)], end)
-    return (before(2) * OUTCOMES + before(1)) * OUTCOMES + flat
-
-
-def _added(batches):
-    """The sum of partial gradients, as one row."""
-    gc, gw = np.zeros(CLASS_ROWS * CLASSES), np.zeros(WORD_ROWS * WIDE)
+def untrained(counts: DataFrame) -> Model:
+    """The model whose weights are all 0: classes and cells by their counts alone."""
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    bits = width_bits(distinct)
+    classes, cells = 1 << bits, 1 << 2 * bits
+    shared = cells // 2
+    own = min(shared, len(head))
+    n, v = np.zeros(cells), np.zeros(cells)
+    for r in counts.groupBy(F.pmod(F.crc32("token"), F.lit(shared)).alias("cell")).agg(F.sum("c"), F.count("*")).collect():  # a row a cell
+        n[shared + r[0]], v[shared + r[0]] = r[1], r[2]
+    crc = np.array([zlib.crc32(t) for t, _ in head], np.int64)
+    at = shared + crc % shared
+    c = np.array([c for _, c in head], np.float64)
+    np.subtract.at(n, at[:own], c[:own])
+    np.subtract.at(v, at[:own], 1)
+    n[:own], v[:own] = c[:own], 1
+    at[:own] = np.arange(own)
+    by_class = n.reshape(classes, classes).T  # of cell i, i % classes is the class
+    room = np.where(np.arange(cells) < shared, 0.0, np.log10(n + v + 1))
+    weights = (np.zeros((1 << bits + k, classes), np.float32) for k in (11, 12))
+    return Model(dict(zip((t for t, _ in head), range(len(head)), strict=True)), np.log10(np.append(c, 0.0) + 1.0), np.append(at, -1), own, room, np.log(by_class.sum(axis=1) + 1).astype(np.float32), np.log(by_class + 1).astype(np.float32), *weights, int(total), int(distinct), int(head[-1][1]) if head else 0)
+
+
+def train_batches(model: Model, cell: np.ndarray, last: np.ndarray, second: np.ndarray, squares: list[np.ndarray], met: list[np.ndarray], rate: float = RATE) -> None:
+    """Gradient steps over minibatches of tokens; weights change in place."""
+    for i in range(0, len(cell), BATCH):
+        c = cell[i:i + BATCH]
+        h, cls, row = features(last[i:i + BATCH], second[i:i + BATCH]), c % model.classes, np.arange(len(c))
+        for k, (weights, prior, rows, at) in enumerate((
+            (model.class_weights, model.class_prior, class_rows(h, len(model.class_weights)), cls),
+            (model.cell_weights, model.cell_prior[cls], cell_rows(h, cls, len(model.cell_weights)), c // model.classes),
+        )):
+            error = softmax(logits(weights, prior, rows))
+            error[row, at] -= 1
+            descend(weights, squares[k], met[k], rows, error, rate)
+
+
+_MOVED = "which int, block int, moved binary, squares binary, met binary"
+
+
+def _merged(batches):
+    """For each block of rows, the mean of what tasks changed, each row weighted by how often a task met it."""
+    sums: dict = {}
     for b in batches:
         for i in range(b.num_rows):
-            gc += np.frombuffer(b.column("gc")[i].as_buffer(), "<f4")
-            gw += np.frombuffer(b.column("gw")[i].as_buffer(), "<f4")
-    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (gc, gw)], names=["gc", "gw"])
-
-
-def fit(train: DataFrame, ids: dict[bytes, int], steps: int = 12, tasks: int = 8, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after `steps` distributed gradient updates (each coordinate scaled by the root of its mean square)."""
-    events = pair_counts(train, ids)
-    grouped = materialize(events.groupBy(F.floor(F.col("event") / OUTCOMES).alias("pair")).agg(F.collect_list(F.struct(F.pmod("event", F.lit(OUTCOMES)).cast("int").alias("o"), "n")).alias("next")).repartition(tasks, "pair"), "lm-pairs")
-    total = grouped.agg(F.sum(F.aggregate("next", F.lit(0).cast("long"), lambda a, x: a + x["n"]))).first()[0] or 0
-    wc, ww = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, WIDE), np.float32)
-    if not total:
-        return wc, ww
-    sc, sw = np.zeros_like(wc), np.zeros_like(ww)
-    sc_ = train.sparkSession.sparkContext
-    for step in range(steps):
-        sent = sc_.broadcast((wc, ww))
+            key = b.column("which")[i].as_py(), b.column("block")[i].as_py()
+            met = np.frombuffer(b.column("met")[i].as_buffer(), "<f4").astype(np.float64)
+            moved = np.frombuffer(b.column("moved")[i].as_buffer(), "<f2").reshape(len(met), -1).astype(np.float64) * met[:, None]
+            squares = np.frombuffer(b.column("squares")[i].as_buffer(), "<f4") * met
+            old = sums.get(key)
+            sums[key] = (moved, squares, met) if old is None else (old[0] + moved, old[1] + squares, old[2] + met)
+    for (which, block), (moved, squares, met) in sums.items():
+        n = np.maximum(met, 1e-9)
+        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (moved / n[:, None], squares / n, met)]], names=["which", "block", "moved", "squares", "met"])
+
+
+def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 3) -> None:
+    """Trains the model's weights by distributed gradient updates, each over a slice of the texts (train: doc_id, text)."""
+    spark = train.sparkSession
+    tables = [model.class_weights, model.cell_weights]
+    squares = [np.zeros(len(w), np.float32) for w in tables]
+    model_bytes = sum(w.nbytes for w in tables)
+    tasks = int(max(LEAST_TASKS, text_bytes // rounds // max(TASK_BYTES, 2 * model_bytes)))
+    for r in range(rounds):
+        sent = spark.sparkContext.broadcast((model, squares))
 
         def part(batches, sent=sent):
-            wc, ww = sent.value
-            gc, gw = np.zeros(wc.shape, np.float64), np.zeros(ww.shape, np.float64)
+            model, old = sent.value
+            before = [model.class_weights, model.cell_weights]
+            own = Model(**{**model.__dict__, "class_weights": before[0].copy(), "cell_weights": before[1].copy()})
+            squares, met = [x.copy() for x in old], [np.zeros(len(x), np.float32) for x in old]
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    x = b.slice(at, 1024)
-                    pairs = x.column("pair").to_numpy(zero_copy_only=False).astype(np.int64)
-                    nxt = x.column("next")
-                    size = np.asarray(pc.list_value_length(nxt), np.int64)
-                    flat = pc.list_flatten(nxt)
-                    counts = np.zeros((len(pairs), OUTCOMES), np.float32)
-                    counts[np.repeat(np.arange(len(pairs)), size), flat.field("o").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
-                    a, c, _ = gradient(pairs, counts, wc, ww)
-                    gc += a
-                    gw += c
-            yield pa.RecordBatch.from_arrays([pa.array([gc.astype("<f4").tobytes()], pa.binary()), pa.array([gw.astype("<f4").tobytes()], pa.binary())], names=["gc", "gw"])
-
-        # Parts run side by side; a task adds up these `tasks` rows of fixed size (5 MB), so the driver gets one.
-        parts = grouped.coalesce(tasks).mapInArrow(part, "gc binary, gw binary")
-        r = parts.repartition(1).mapInArrow(_added, "gc binary, gw binary").first()
-        gc, gw = np.frombuffer(r[0], "<f4").reshape(wc.shape), np.frombuffer(r[1], "<f4").reshape(ww.shape)
+                for x in row_chunks(b, "text"):
+                    _, cell, last, second, _ = own.read([tokens(t) for t in texts_of(x, "text")])
+                    train_batches(own, cell, last, second, squares, met)
+            for k, (new, was) in enumerate(zip((own.class_weights, own.cell_weights), before, strict=True)):
+                for block, at in enumerate(np.array_split(np.arange(len(new)), BLOCKS)):
+                    i = slice(at[0], at[-1] + 1)
+                    if met[k][i].any():
+                        parts = ((new[i] - was[i]).astype("<f2"), (squares[k][i] - old[k][i]).astype("<f4"), met[k][i].astype("<f4"))
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=["which", "block", "moved", "squares", "met"])
+
+        piece = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
+        moved = piece.coalesce(tasks).mapInArrow(part, _MOVED).repartition(BLOCKS, "which", "block").mapInArrow(_merged, _MOVED)
+        for row in moved.toLocalIterator():  # 2 * BLOCKS rows: the size of the model, whatever the input
+            k, i = row["which"], np.array_split(np.arange(len(tables[row["which"]])), BLOCKS)[row["block"]]
+            tables[k][i] += np.frombuffer(row["moved"], "<f4").reshape(len(i), -1)
+            squares[k][i] += np.frombuffer(row["squares"], "<f4")
         sent.destroy()
-        eta = rate * (1.0 - step / steps)
-        for w, g, s in ((wc, gc / total, sc), (ww, gw / total, sw)):
-            s *= 0.8
-            s += 0.2 * g * g
-            w += eta * g / (np.sqrt(s) + 1e-7)
-    return wc, ww
 
 
-def score(docs: DataFrame, *, folds: int = 7, fold: int = 2, steps: int = 12) -> DataFrame:
-    """One row a document; see the contract for the columns. other_logp is what of `score` the shared outcome took."""
-    spark = docs.sparkSession
+def train_model(docs: DataFrame, *, folds: int = 7, fold: int = 2, rounds: int = 3) -> tuple[Model, DataFrame]:
+    """The model of all texts that are not held out, and their tokens' counts (token, c)."""
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_is_held(folds, fold))
+    counts = materialize(token_counts(train.select("text")), "lm-counts")
+    model = untrained(counts)
+    text_bytes = counts.agg(F.coalesce(F.sum((F.octet_length("token") + 1) * F.col("c")), F.lit(0))).first()[0]
+    if model.total:
+        fit(train, model, text_bytes, rounds)
+    return model, counts
+
+
+def score_texts(docs: DataFrame, model: Model, counts: DataFrame, *, folds: int = 7, fold: int = 2) -> DataFrame:
+    """One row a document; see the contract for the columns."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    is_held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
-    train = docs.where(~is_held).select("text")
-    counts = materialize(token_counts(train), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
-    ids = {t: i for i, (t, _) in enumerate(head[:OTHER])}
-    wc, ww = fit(train, ids, steps)
-    other_n = total - sum(c for _, c in head[:OTHER])
-    other_v = distinct - len(ids)
-    other_log = np.log10(other_n + other_v + 1)
-    base_log = np.log10(total + distinct + 1)
-    # Places in the head, in order of frequency, are the outcomes too; its last entry stands for tokens beyond it.
-    logs = np.log10(np.array([*[c for _, c in head], 0], np.float64) + 1.0)
-    sent = spark.sparkContext.broadcast(({t: i for i, (t, _) in enumerate(head)}, logs, wc, ww))
-    all_known = distinct <= len(head)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    all_known = model.distinct <= len(model.head)
 
     def read(batches):
-        places, logs, wc, ww = sent.value
-        end = min(places.get(END, OTHER), OTHER)
-        logp, filled = np.zeros((PAIRS, OUTCOMES), np.float32), np.zeros(PAIRS, bool)
-        at = 0
-        task = __import__("pyspark").TaskContext.get().partitionId()
+        model = sent.value
+        at, task = 0, TaskContext.get().partitionId()
         for b in batches:
             for x in row_chunks(b, "text"):
                 texts = [tokens(t) for t in texts_of(x, "text")]
-                lengths = np.array([len(t) for t in texts], np.int64)
-                place = _looked_up(texts, places, -1, int(lengths.sum()))
-                known = place >= 0
-                event = _after_pairs(np.where(known & (place < OTHER), place, OTHER), lengths, end)
-                pair, out = event // OUTCOMES, event % OUTCOMES
-                need = np.unique(pair)
-                need = need[~filled[need]]
-                for i in range(0, len(need), 2048):
-                    p = need[i:i + 2048]
-                    lc, lw = log_probs(p, wc, ww)
-                    logp[p] = ((lc[:, :, None] + lw) / np.log(10)).reshape(len(p), OUTCOMES)
-                filled[need] = True
-                run = np.concatenate([[0.0], np.cumsum(logp[pair, out], dtype=np.float64)])
-                ends = np.cumsum(lengths)
+                place, cell, last, second, lengths = model.read(texts)
+                known, ends = place >= 0, np.cumsum(lengths)
                 begins = ends - lengths  # a text has one token at least
-                model = run[ends] - run[begins]
-                log = logs[place]
-                base, other = np.add.reduceat(log, begins), np.add.reduceat(np.where(out == OTHER, log, 0.0), begins)
-                n_known, n_other = (np.add.reduceat(x.astype(np.int64), begins) for x in (known, out == OTHER))
+                log = model.logs[place]
+                inner = np.where(known & (place < model.own), 0.0, log - model.room[cell])
+                base, fitted = np.add.reduceat(log, begins), np.add.reduceat(model.log_cells(cell, last, second) + inner, begins)
+                n_known = np.add.reduceat(known.astype(np.int64), begins)
                 tail, times = [[] for _ in texts], [[] for _ in texts]
                 if not all_known:
                     for i in np.flatnonzero(n_known < lengths).tolist():
                         beyond = Counter(w for w, k in zip(texts[i], known[begins[i]:ends[i]].tolist(), strict=True) if not k)
                         tail[i], times[i] = list(beyond), list(beyond.values())
-                n = len(texts)
-                key = [(task << 40) + at + i for i in range(n)]
-                at += n
+                key = [(task << 40) + at + i for i in range(len(texts))]
+                at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [x.column("doc_id"), pa.array(key, pa.int64()), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(other), pa.array(model), pa.array(n_other), pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "n_tokens", "known", "base", "other", "model", "n_other", "tail", "times"],
+                    [x.column("doc_id"), pa.array(key, pa.int64()), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(fitted), pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["doc_id", "key", "n_tokens", "known", "base", "fitted", "tail", "times"],
                 )
 
-    read_docs = materialize(docs.mapInArrow(read, "doc_id long, key long, n_tokens long, known long, base double, other double, model double, n_other long, tail array<binary>, times array<long>"), "lm-read")
+    read_docs = materialize(docs.mapInArrow(read, "doc_id long, key long, n_tokens long, known long, base double, fitted double, tail array<binary>, times array<long>"), "lm-read")
     rare = read_docs.select("key", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("key", F.col("x.tail").alias("token"), F.col("x.times").alias("k"))
     # The head holds the most frequent tokens, so a token that is left has few rows.
-    least = head[-1][1] if head else 0
-    found = rare.join(counts.where(F.col("c") <= least), "token").groupBy("key").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
+    found = rare.join(counts.where(F.col("c") <= model.least), "token").groupBy("key").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
     more = F.coalesce("more", F.lit(0.0))
     return read_docs.join(found, "key", "left").select(
-        "doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(float(base_log))).alias("base_score"),
-        (F.col("model") + F.col("other") + more - F.col("n_other") * F.lit(float(other_log))).alias("score"),
+        "doc_id", _is_held(folds, fold).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + more - F.col("n_tokens") * F.lit(float(np.log10(model.total + model.distinct + 1)))).alias("base_score"), (F.col("fitted") + more).alias("score"),
     )
+
+
+def score(docs: DataFrame, *, folds: int = 7, fold: int = 2, rounds: int = 3) -> DataFrame:
+    """Trains on the rows that are not held out and scores all."""
+    model, counts = train_model(docs, folds=folds, fold=fold, rounds=rounds)
+    return score_texts(docs, model, counts, folds=folds, fold=fold)

@@ -206,33 +206,66 @@ def test_lm(spark, docs, empty, monkeypatch):
     c = Counter(w for d, ws in toks if not held(d) for w in ws)
     n, v = sum(c.values()), len(c)
     want = Counter((d, held(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in toks)
-    got = lm.score(docs, steps=4).collect()
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got) and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-    assert lm.score(empty, steps=1).count() == 0
-    # Tokens beyond the head come through the join and change no figure.
-    whole = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
-    monkeypatch.setattr(lm, "HEAD", 300)
-    tail = lm.score(docs, steps=4).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in tail) == whole
-
-
-def test_lm_adds_up_to_one():
-    rng = np.random.default_rng(0)
-    lc, lw = lm.log_probs(np.array([0, 77, 65535]), rng.normal(size=(lm.CLASS_ROWS, lm.CLASSES)), rng.normal(size=(lm.WORD_ROWS, lm.WIDE)))
-    assert np.allclose(np.exp(lc[:, :, None] + lw).sum(axis=(1, 2)), 1)
+    for head in (1 << 16, 150):  # tokens beyond the head come through the join
+        monkeypatch.setattr(lm, "HEAD", head)
+        model, counts = lm.train_model(docs, rounds=2)
+        assert (len(model.head) < v) == (head == 150)
+        got = lm.score_texts(docs, model, counts).collect()
+        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+        assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+        # Every score again, token by token, from the model's tables.
+        slow = Counter((d, round(sum(token_log10(model, c, *before, w) for *before, w in zip(["\n", "\n", *ws], ["\n", *ws], ws, strict=False)), 2)) for d, ws in toks if len(ws) < 500)
+        assert Counter((r["doc_id"], round(r["score"], 2)) for r in got if r["n_tokens"] < 500) == slow
+    # Over all tokens, and one unknown token of each shared cell, probabilities add up to 1.
+    unknown = {}
+    for i in range(20_000):
+        unknown.setdefault(zlib.crc32(b"?%d" % i) % (len(model.room) // 2), f"?{i}")
+    assert len(unknown) == len(model.room) // 2
+    some = toks[9][1]
+    assert abs(sum(10 ** token_log10(model, c, *some[:2], w) for w in [*c, *unknown.values()]) - 1) < 1e-3 + sum(10 ** token_log10(model, c, *some[:2], None, cell=i) for i in range(model.own, len(model.room) // 2))
+    assert lm.score(empty, rounds=1).count() == 0
+    one = spark.createDataFrame([(2, "only a held out text"), (None, None)], "doc_id long, text string").where("doc_id = 2")
+    assert lm.score(one).count() == 1
+
+
+def token_log10(model, counts, second, last, word, cell=None):
+    """log10 P(word | second, last), by scalars."""
+    name = lambda w: model.head.get(w.encode(), zlib.crc32(w.encode()) + (1 << 32))
+    shared = len(model.room) // 2
+    if cell is None:
+        place = model.head.get(word.encode(), -1)
+        cell = place if 0 <= place < model.own else shared + zlib.crc32(word.encode()) % shared
+    h = lm.features(np.array([name(last)], np.uint64), np.array([name(second)], np.uint64))
+    cls, member = cell % model.classes, cell // model.classes
+    out = 0.0
+    for weights, prior, rows, at in ((model.class_weights, model.class_prior, lm.class_rows(h, len(model.class_weights)), cls), (model.cell_weights, model.cell_prior[cls], lm.cell_rows(h, np.array([cls]), len(model.cell_weights)), member)):
+        z = [float(prior[j]) + sum(float(weights[r[0], j]) for r in rows) for j in range(model.classes)]
+        out += z[at] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+    out /= math.log(10)
+    if cell >= shared and word is not None:
+        out += math.log10(counts[word] + 1) - float(model.room[cell])
+    return out
 
 
 def test_lm_gradient():
+    """The error in the logits is the gradient of the log likelihood, and a step raises it."""
     rng = np.random.default_rng(0)
-    p, n = np.array([5, 900]), rng.integers(0, 4, (2, lm.OUTCOMES)).astype(float)
-    wc, ww = rng.normal(size=(lm.CLASS_ROWS, lm.CLASSES)), rng.normal(size=(lm.WORD_ROWS, lm.WIDE))
-    gc, gw, l0 = lm.gradient(p, n, wc, ww)
-    for w, g in ((wc, gc), (ww, gw)):
-        i = tuple(x[0] for x in np.nonzero(g))
-        w[i] += 1e-5
-        assert abs((lm.gradient(p, n, wc, ww)[2] - l0) / 1e-5 - g[i]) < 1e-2
-        w[i] -= 1e-5
+    w, prior, rows, at = rng.normal(size=(64, 8)).astype(np.float64), rng.normal(size=8), rng.integers(0, 64, (3, 40)), rng.integers(0, 8, 40)
+    loss = lambda w: -lm.log_of(lm.logits(w, prior, rows), at).sum()
+    error = lm.softmax(lm.logits(w, prior, rows))
+    error[np.arange(40), at] -= 1
+    for r, j in ((rows[0][3], 2), (rows[2][7], at[7])):
+        e = np.zeros_like(w)
+        e[r, j] = 1e-6
+        want = sum(error[i, j] for f in rows for i in np.flatnonzero(f == r))
+        assert abs((loss(w + e) - loss(w)) / 1e-6 - want) < 1e-3
+    before, met = loss(w), np.zeros(64)
+    lm.descend(w, np.zeros(64), met, rows, error, 0.1)
+    assert loss(w) < before and met.sum() == 120
+
+
+def test_lm_tables_grow():
+    assert [lm.width_bits(v) for v in (1, 10_000, 400_000, 8_000_000, 100_000_000, 1 << 30)] == [4, 4, 5, 5, 6, 7]
 
 
 def test_jaccard_join(docs, empty):
