@@ -5,16 +5,16 @@ Every token has a cell: the most frequent ones have one each, all others share h
     P(token | h) = P(class | h) * P(cell | class, h) * P(token | cell).
 
 The first two are softmaxes: the smoothed log count of the class (of the cell) plus weights of hashed features of the two
-tokens before, whatever tokens they are: bigram, skip (second token back) and trigram. The last is the token's smoothed
+tokens before, whatever tokens they are: bigram and skip (second token back), for classes the trigram too. The last is the token's smoothed
 share of its cell, which has room for one unknown token, so probabilities add up to 1. Cells, classes and weights grow with
 the vocabulary V: about V ** 0.4 cells, in as many classes as a class has cells, and rows of weights in proportion to
 classes.
 
 Training sees every training token once. Each of `rounds` distributed gradient updates is a Spark job over a slice of the
 training texts: a task starts from the weights so far, runs over its texts by minibatches (steps scaled by the root of a
-row's summed squared gradients), and sends what it changed in blocks; blocks are averaged side by side, each row by how
-often tasks met it. The number of tasks grows with the input, each with text enough for what it sends. Scoring gathers
-log probabilities in sparse numpy batches.
+row's summed squares), and sends what it changed in blocks; blocks are averaged side by side, each row by the squares that
+a task added to it. The number of tasks grows with the input, each with text enough for what it sends. Scoring gathers log
+probabilities in sparse numpy batches.
 
 Counts of tokens over the training texts are exact. The HEAD most frequent ones are broadcast (bounded); all others are
 joined to the texts that have them by a shuffle, in which no token is hot, as those are in the head.
@@ -42,9 +42,9 @@ from .common import materialize, row_chunks, texts_of
 HEAD = 1 << 16
 END = b"\n"  # no word holds white space
 #: Tokens in a minibatch; blocks in which a table of weights is sent; least bytes of text for a training task.
-BATCH, BLOCKS, TASK_BYTES = 4096, 64, 32 << 20
-LEAST_TASKS = 8
+BATCH, BLOCKS, TASK_BYTES = 1024, 64, 12 << 20
 RATE = 0.5
+CELL_FEATURES = 2
 _U = np.uint64
 
 
@@ -74,7 +74,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def features(last: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of bigram, skip and trigram features: 3 x tokens."""
+    """Hashes of bigram, skip and trigram features: 3 x tokens. Cells use the first CELL_FEATURES."""
     return np.stack([_mixed(last * _U(8) + _U(1)), _mixed(second * _U(8) + _U(2)), _mixed((last * _U(0xC2B2AE3D27D4EB4F) + second) * _U(8) + _U(3))])
 
 
@@ -110,18 +110,14 @@ def log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(z.sum(axis=1))
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
+def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
     """One step against `error`, the gradient in the logits of each token, for all feature rows of the tokens."""
-    at = rows.ravel()
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    own = at[first]
-    g = np.add.reduceat(error.take(order % len(error), axis=0), first, axis=0)
-    squares[own] += np.einsum("ij,ij->i", g, g)
-    met[own] += np.diff(np.append(first, len(at)))
-    g *= (rate / np.sqrt(squares[own] + 1e-3))[:, None]
-    weights[own] = weights.take(own, axis=0) - g
+    size = np.einsum("ij,ij->i", error, error)
+    np.add.at(squares, rows.ravel(), np.concatenate([size] * len(rows)))
+    flat, place = weights.reshape(-1), np.arange(weights.shape[1])
+    for r in rows:
+        step = error * (-rate / np.sqrt(squares[r] + np.float32(1e-3)))[:, None]
+        np.add.at(flat, (r[:, None] * len(place) + place).ravel(), step.ravel())
 
 
 @dataclass
@@ -172,7 +168,7 @@ class Model:
             c = cell[i:i + BATCH]
             h, cls = features(last[i:i + BATCH], second[i:i + BATCH]), c % self.classes
             out[i:i + BATCH] = log_of(logits(self.class_weights, self.class_prior, class_rows(h, len(self.class_weights))), cls)
-            out[i:i + BATCH] += log_of(logits(self.cell_weights, self.cell_prior[cls], cell_rows(h, cls, len(self.cell_weights))), c // self.classes)
+            out[i:i + BATCH] += log_of(logits(self.cell_weights, self.cell_prior[cls], cell_rows(h[:CELL_FEATURES], cls, len(self.cell_weights))), c // self.classes)
         return out / np.log(10)
 
 
@@ -221,37 +217,36 @@ def untrained(counts: DataFrame) -> Model:
     return Model(dict(zip((t for t, _ in head), range(len(head)), strict=True)), np.log10(np.append(c, 0.0) + 1.0), np.append(at, -1), own, room, np.log(by_class.sum(axis=1) + 1).astype(np.float32), np.log(by_class + 1).astype(np.float32), *weights, int(total), int(distinct), int(head[-1][1]) if head else 0)
 
 
-def train_batches(model: Model, cell: np.ndarray, last: np.ndarray, second: np.ndarray, squares: list[np.ndarray], met: list[np.ndarray], rate: float = RATE) -> None:
+def train_batches(model: Model, cell: np.ndarray, last: np.ndarray, second: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
     """Gradient steps over minibatches of tokens; weights change in place."""
     for i in range(0, len(cell), BATCH):
         c = cell[i:i + BATCH]
         h, cls, row = features(last[i:i + BATCH], second[i:i + BATCH]), c % model.classes, np.arange(len(c))
         for k, (weights, prior, rows, at) in enumerate((
             (model.class_weights, model.class_prior, class_rows(h, len(model.class_weights)), cls),
-            (model.cell_weights, model.cell_prior[cls], cell_rows(h, cls, len(model.cell_weights)), c // model.classes),
+            (model.cell_weights, model.cell_prior[cls], cell_rows(h[:CELL_FEATURES], cls, len(model.cell_weights)), c // model.classes),
         )):
             error = softmax(logits(weights, prior, rows))
             error[row, at] -= 1
-            descend(weights, squares[k], met[k], rows, error, rate)
+            descend(weights, squares[k], rows, error, np.float32(rate))
 
 
-_MOVED = "which int, block int, moved binary, squares binary, met binary"
+_MOVED = "which int, block int, moved binary, squares binary"
 
 
 def _merged(batches):
-    """For each block of rows, the mean of what tasks changed, each row weighted by how often a task met it."""
+    """For each block of rows, the mean of what tasks changed, each row weighted by the squares that a task added to it."""
     sums: dict = {}
     for b in batches:
         for i in range(b.num_rows):
             key = b.column("which")[i].as_py(), b.column("block")[i].as_py()
-            met = np.frombuffer(b.column("met")[i].as_buffer(), "<f4").astype(np.float64)
-            moved = np.frombuffer(b.column("moved")[i].as_buffer(), "<f2").reshape(len(met), -1).astype(np.float64) * met[:, None]
-            squares = np.frombuffer(b.column("squares")[i].as_buffer(), "<f4") * met
+            added = np.frombuffer(b.column("squares")[i].as_buffer(), "<f4").astype(np.float64)
+            moved = np.frombuffer(b.column("moved")[i].as_buffer(), "<f2").reshape(len(added), -1) * added[:, None]
             old = sums.get(key)
-            sums[key] = (moved, squares, met) if old is None else (old[0] + moved, old[1] + squares, old[2] + met)
-    for (which, block), (moved, squares, met) in sums.items():
-        n = np.maximum(met, 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (moved / n[:, None], squares / n, met)]], names=["which", "block", "moved", "squares", "met"])
+            sums[key] = (moved, added, added**2) if old is None else (old[0] + moved, old[1] + added, old[2] + added**2)
+    for (which, block), (moved, added, twice) in sums.items():
+        n = np.maximum(added, 1e-30)
+        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (moved / n[:, None], twice / n)]], names=["which", "block", "moved", "squares"])
 
 
 def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 3) -> None:
@@ -260,7 +255,7 @@ def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 3) -> Non
     tables = [model.class_weights, model.cell_weights]
     squares = [np.zeros(len(w), np.float32) for w in tables]
     model_bytes = sum(w.nbytes for w in tables)
-    tasks = int(max(LEAST_TASKS, text_bytes // rounds // max(TASK_BYTES, 2 * model_bytes)))
+    tasks = int(max(1, text_bytes // rounds // max(TASK_BYTES, model_bytes // 2)))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((model, squares))
 
@@ -268,17 +263,17 @@ def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 3) -> Non
             model, old = sent.value
             before = [model.class_weights, model.cell_weights]
             own = Model(**{**model.__dict__, "class_weights": before[0].copy(), "cell_weights": before[1].copy()})
-            squares, met = [x.copy() for x in old], [np.zeros(len(x), np.float32) for x in old]
+            squares = [x.copy() for x in old]
             for b in batches:
                 for x in row_chunks(b, "text"):
                     _, cell, last, second, _ = own.read([tokens(t) for t in texts_of(x, "text")])
-                    train_batches(own, cell, last, second, squares, met)
+                    train_batches(own, cell, last, second, squares)
             for k, (new, was) in enumerate(zip((own.class_weights, own.cell_weights), before, strict=True)):
                 for block, at in enumerate(np.array_split(np.arange(len(new)), BLOCKS)):
                     i = slice(at[0], at[-1] + 1)
-                    if met[k][i].any():
-                        parts = ((new[i] - was[i]).astype("<f2"), (squares[k][i] - old[k][i]).astype("<f4"), met[k][i].astype("<f4"))
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=["which", "block", "moved", "squares", "met"])
+                    added = squares[k][i] - old[k][i]
+                    if added.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in ((new[i] - was[i]).astype("<f2"), added.astype("<f4"))]], names=["which", "block", "moved", "squares"])
 
         piece = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
         moved = piece.coalesce(tasks).mapInArrow(part, _MOVED).repartition(BLOCKS, "which", "block").mapInArrow(_merged, _MOVED)

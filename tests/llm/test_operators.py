@@ -238,7 +238,7 @@ def token_log10(model, counts, second, last, word, cell=None):
     h = lm.features(np.array([name(last)], np.uint64), np.array([name(second)], np.uint64))
     cls, member = cell % model.classes, cell // model.classes
     out = 0.0
-    for weights, prior, rows, at in ((model.class_weights, model.class_prior, lm.class_rows(h, len(model.class_weights)), cls), (model.cell_weights, model.cell_prior[cls], lm.cell_rows(h, np.array([cls]), len(model.cell_weights)), member)):
+    for weights, prior, rows, at in ((model.class_weights, model.class_prior, lm.class_rows(h, len(model.class_weights)), cls), (model.cell_weights, model.cell_prior[cls], lm.cell_rows(h[:lm.CELL_FEATURES], np.array([cls]), len(model.cell_weights)), member)):
         z = [float(prior[j]) + sum(float(weights[r[0], j]) for r in rows) for j in range(model.classes)]
         out += z[at] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
     out /= math.log(10)
@@ -259,9 +259,9 @@ def test_lm_gradient():
         e[r, j] = 1e-6
         want = sum(error[i, j] for f in rows for i in np.flatnonzero(f == r))
         assert abs((loss(w + e) - loss(w)) / 1e-6 - want) < 1e-3
-    before, met = loss(w), np.zeros(64)
-    lm.descend(w, np.zeros(64), met, rows, error, 0.1)
-    assert loss(w) < before and met.sum() == 120
+    before, squares = loss(w), np.zeros(64)
+    lm.descend(w, squares, rows, error, 0.1)
+    assert loss(w) < before and abs(squares.sum() - 3 * (error**2).sum()) < 1e-9
 
 
 def test_lm_tables_grow():
