@@ -5,7 +5,7 @@ Every token has a cell: the most frequent ones have one each, all others share h
     P(token | h) = P(class | h) * P(cell | class, h) * P(token | cell).
 
 The first two are softmaxes: the smoothed log count of the class (of the cell) plus weights of hashed features of the two
-tokens before, whatever tokens they are: bigram and skip (second token back), for classes the trigram too. The last is the token's smoothed
+tokens before, whatever tokens they are: the bigram, and for classes the skip (second token back). The last is the token's smoothed
 share of its cell, which has room for one unknown token, so probabilities add up to 1. Cells, classes and weights grow with
 the vocabulary V: about V ** 0.4 cells, in as many classes as a class has cells, and rows of weights in proportion to
 classes.
@@ -44,7 +44,7 @@ END = b"\n"  # no word holds white space
 #: Tokens in a minibatch; blocks in which a table of weights is sent; least bytes of text for a training task.
 BATCH, BLOCKS, TASK_BYTES = 1024, 64, 12 << 20
 RATE = 0.5
-CELL_FEATURES = 2
+CELL_FEATURES = 1
 _U = np.uint64
 
 
@@ -74,8 +74,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def features(last: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of bigram, skip and trigram features: 3 x tokens. Cells use the first CELL_FEATURES."""
-    return np.stack([_mixed(last * _U(8) + _U(1)), _mixed(second * _U(8) + _U(2)), _mixed((last * _U(0xC2B2AE3D27D4EB4F) + second) * _U(8) + _U(3))])
+    """Hashes of bigram and skip features: 2 x tokens. Cells use the first CELL_FEATURES."""
+    return np.stack([_mixed(last * _U(8) + _U(1)), _mixed(second * _U(8) + _U(2))])
 
 
 def class_rows(h: np.ndarray, rows: int) -> np.ndarray:
@@ -87,27 +87,25 @@ def cell_rows(h: np.ndarray, classes: np.ndarray, rows: int) -> np.ndarray:
 
 
 def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of weights and prior, between -80 and 80, where exp() is finite."""
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
     z += prior
-    return z
+    return np.clip(z, -80, 80, out=z)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
 def log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row of z at one place."""
-    most = z.max(axis=1)
-    own = z[np.arange(len(z)), at] - most
-    z -= most[:, None]
+    own = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
@@ -193,6 +191,10 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _log_share(n: np.ndarray) -> np.ndarray:
+    return np.log(n / n.sum(axis=-1, keepdims=True)).astype(np.float32)
+
+
 def untrained(counts: DataFrame) -> Model:
     """The model whose weights are all 0: classes and cells by their counts alone."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -214,7 +216,7 @@ def untrained(counts: DataFrame) -> Model:
     by_class = n.reshape(classes, classes).T  # of cell i, i % classes is the class
     room = np.where(np.arange(cells) < shared, 0.0, np.log10(n + v + 1))
     weights = (np.zeros((1 << bits + k, classes), np.float32) for k in (11, 12))
-    return Model(dict(zip((t for t, _ in head), range(len(head)), strict=True)), np.log10(np.append(c, 0.0) + 1.0), np.append(at, -1), own, room, np.log(by_class.sum(axis=1) + 1).astype(np.float32), np.log(by_class + 1).astype(np.float32), *weights, int(total), int(distinct), int(head[-1][1]) if head else 0)
+    return Model(dict(zip((t for t, _ in head), range(len(head)), strict=True)), np.log10(np.append(c, 0.0) + 1.0), np.append(at, -1), own, room, _log_share(by_class.sum(axis=1) + 1), _log_share(by_class + 1), *weights, int(total), int(distinct), int(head[-1][1]) if head else 0)
 
 
 def train_batches(model: Model, cell: np.ndarray, last: np.ndarray, second: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
@@ -249,7 +251,7 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (moved / n[:, None], twice / n)]], names=["which", "block", "moved", "squares"])
 
 
-def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 3) -> None:
+def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 2) -> None:
     """Trains the model's weights by distributed gradient updates, each over a slice of the texts (train: doc_id, text)."""
     spark = train.sparkSession
     tables = [model.class_weights, model.cell_weights]
@@ -284,7 +286,7 @@ def fit(train: DataFrame, model: Model, text_bytes: int, rounds: int = 3) -> Non
         sent.destroy()
 
 
-def train_model(docs: DataFrame, *, folds: int = 7, fold: int = 2, rounds: int = 3) -> tuple[Model, DataFrame]:
+def train_model(docs: DataFrame, *, folds: int = 7, fold: int = 2, rounds: int = 2) -> tuple[Model, DataFrame]:
     """The model of all texts that are not held out, and their tokens' counts (token, c)."""
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_is_held(folds, fold))
     counts = materialize(token_counts(train.select("text")), "lm-counts")
@@ -316,9 +318,12 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, *, folds: int
                 n_known = np.add.reduceat(known.astype(np.int64), begins)
                 tail, times = [[] for _ in texts], [[] for _ in texts]
                 if not all_known:
-                    for i in np.flatnonzero(n_known < lengths).tolist():
-                        beyond = Counter(w for w, k in zip(texts[i], known[begins[i]:ends[i]].tolist(), strict=True) if not k)
-                        tail[i], times[i] = list(beyond), list(beyond.values())
+                    at_text = np.repeat(np.arange(len(texts)), lengths - n_known)
+                    inside = (np.flatnonzero(~known) - begins[at_text]).tolist()
+                    counted: list[Counter] = [Counter() for _ in texts]
+                    for i, j in zip(at_text.tolist(), inside, strict=True):
+                        counted[i][texts[i][j]] += 1
+                    tail, times = [list(c) for c in counted], [list(c.values()) for c in counted]
                 key = [(task << 40) + at + i for i in range(len(texts))]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -337,7 +342,7 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, *, folds: int
     )
 
 
-def score(docs: DataFrame, *, folds: int = 7, fold: int = 2, rounds: int = 3) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, fold: int = 2, rounds: int = 2) -> DataFrame:
     """Trains on the rows that are not held out and scores all."""
     model, counts = train_model(docs, folds=folds, fold=fold, rounds=rounds)
     return score_texts(docs, model, counts, folds=folds, fold=fold)
