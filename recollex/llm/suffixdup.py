@@ -13,7 +13,7 @@ start): its window's longest previous factor is at least that long. Only windows
    position. Common prefixes of neighbours are counted in bytes; previous and next smaller positions in this order, with
    the least common prefix on the way, give the longest previous factor of each suffix. A window goes if it has all bytes.
 
-A k-gram with very many contexts (more than a bounded part of all) is split by context in steps 2 and 3, as no task could
+A k-gram with very many contexts (more than a bounded number) is split by context in steps 2 and 3, as no task could
 hold it; the windows that are first in their part then meet in a fourth step, dealt by a hash of the window.
 
 Hashes of k-gram and context (128 bits together) decide in step 2, of k-gram and window in step 4; step 3 compares bytes.
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64, row_chunks, texts_of
 
 KGRAM = 32
-#: A k-gram is split if it has more contexts than this and than a HOT_PARTS-th of all; tasks report those with HOT_HERE or more.
-HOT_LEAST, HOT_PARTS, HOT_HERE = 512, 4096, 8
+#: A k-gram is split if it has more contexts than a HOT_PARTS-th of all, within these bounds (a task needs some 7 KB a
+#: context); tasks report those with HOT_HERE or more. Up to SENT_ROWS of them are broadcast, more are joined.
+HOT_LEAST, HOT_MOST, HOT_PARTS, HOT_HERE, SENT_ROWS = 512, 20_000, 1024, 8, 1 << 16
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _up = np.ones(1, np.uint64)
@@ -227,9 +228,9 @@ def removed_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     spans.append(anchors.where("end >= 0").select("doc", "lo", "end"))
 
     rows = anchors.count()
-    often = anchors.where("end = -2").groupBy("kh").agg(F.sum("lo").alias("n")).where(F.col("n") > max(HOT_LEAST, rows // HOT_PARTS))
-    hot = materialize(often.select("kh", F.lit(True).alias("hot")), "sfx-hot")  # HOT_PARTS rows at most
-    any_hot = hot.count() > 0
+    often = anchors.where("end = -2").groupBy("kh").agg(F.sum("lo").alias("n")).where(F.col("n") > max(HOT_LEAST, min(HOT_MOST, rows // HOT_PARTS)))
+    hot = materialize(often.select("kh", F.lit(True).alias("hot")), "sfx-hot")
+    n_hot = hot.count()
     parts = 64 + rows // 1_000_000
 
     def settle(batches):
@@ -250,7 +251,7 @@ def removed_spans(docs: DataFrame, least: int = 100) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(at[out].astype(np.int32)), pa.array(np.where(settled, 0, 1 + split)[out].astype(np.int8))], names=["doc", "at", "fate"])
 
     first = anchors.where("end = -1").select("doc", "lo", "kh", "ch")
-    first = first.join(F.broadcast(hot), "kh", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else first.withColumn("hot", F.lit(False))
+    first = first.join(F.broadcast(hot) if n_hot <= SENT_ROWS else hot, "kh", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if n_hot else first.withColumn("hot", F.lit(False))
     judged = first.repartition(tasks, "kh", F.when(F.col("hot"), F.pmod("ch", F.lit(parts)))).mapInArrow(settle, "doc long, at int, fate byte")
     by_doc = judged.groupBy("doc").agg(F.collect_set(F.struct("at", "fate")).alias("anchors"))  # a document's anchors at most
     fetched = docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "anchors.at", "anchors.fate")
@@ -304,7 +305,7 @@ def removed_spans(docs: DataFrame, least: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc", "lo", "end", "kh", "wh"])
 
     found = fetched.where("ctx is not null").repartition(tasks, "kh", "part").mapInArrow(sort, "doc long, lo long, end long, kh long, wh long")
-    if any_hot:
+    if n_hot:
         found = materialize(found, "sfx-sorted")
 
         def meet(batches):
