@@ -1,8 +1,11 @@
 """Similarity of a batch of queries to all memories, and the best of each query.
 
-A batch of queries is a table. Its vectors are sent to all tasks while they are at most MOST_SENT values; tasks multiply
-blocks of memories with them and keep each query's best, so what is shuffled is k rows a query and task. A larger batch is
-split, each part scanning once.
+A batch of queries is a table. It is cut into parts of at most about MOST_SENT values by a hash of the query's id; one part
+at a time comes to the driver and goes to all tasks, which multiply blocks of memories with it and keep each query's best.
+So what is shuffled is k rows a query and task, and each part scans the memories once.
+
+Defined cases: memories and queries whose vector is null, of another length than most queries' or holds null or NaN take no
+part; ties go to the smaller node_id; an empty side gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +32,25 @@ def similarity(mem: DataFrame, queries: DataFrame, *carry: str) -> DataFrame:
     return mem.join(F.broadcast(queries)).select("query_id", "node_id", *carry, dot("embedding", "q").alias("sim"))
 
 
+def _whole(vector: str, dims: int) -> Column:
+    """Whether a vector has dims components and no null or NaN among them."""
+    return (F.size(vector) == dims) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+
+
 def topk(mem: DataFrame, queries: DataFrame, k: int, *, rate: float = 0.0, where: Column | None = None, importance: bool = False, carry: str = "modality") -> DataFrame:
     """query_id, rank, node_id, score, and `carry`: the k best by decayed similarity among memories for which `where` holds."""
     if where is not None:
         mem = mem.where(where)
-    rows = queries.select("query_id", "q", "query_ts").collect()
-    dims = max((len(r["q"]) for r in rows), default=1)
-    per = max(1, MOST_SENT // dims)
+    n, dims = queries.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(1))).first()
+    parts_of = max(1, -(-n * max(1, dims) // MOST_SENT))
+    queries = queries.where(_whole("q", dims)).select("query_id", "q", F.coalesce(F.col("query_ts").cast("double"), F.lit(0.0)).alias("query_ts"))
+    mem = mem.where(_whole("embedding", dims))
     weight = F.coalesce(F.col("importance"), F.lit(1.0)).cast("double") if importance else F.lit(1.0)
     mem = mem.select("node_id", "embedding", F.col("ts").cast("double").alias("ts"), F.col(carry).cast("int").alias(carry), weight.alias("weight"))
-    parts = [_part(mem, rows[i:i + per], k, rate, carry) for i in range(0, len(rows), per)]
+    parts = []
+    for i in range(parts_of):
+        if rows := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts_of)) == i).collect():
+            parts.append(_part(mem, rows, k, rate, carry))
     if not parts:
         return mem.sparkSession.createDataFrame([], f"query_id long, rank int, node_id long, score double, {carry} int")
     out = parts[0]

@@ -49,7 +49,7 @@ def _out(df: DataFrame, *cols: str) -> DataFrame:
 
 MEM = """WITH mem AS (SELECT e.vec_id AS node_id, e.embedding::DOUBLE[] AS emb, (e.vec_id % 3)::INTEGER AS modality, epoch_us(v.ts) / 1e6 AS ts, e.label
  FROM embeddings e JOIN events v ON v.event_id = e.vec_id),
-q AS (SELECT node_id AS query_id, emb AS q, (SELECT max(ts) FROM mem) AS query_ts FROM mem WHERE node_id IN (0, 7, 42, 100, 255)),
+q AS (SELECT node_id AS query_id, emb AS q, (SELECT max(ts) FROM mem) AS query_ts FROM mem WHERE node_id % 20 = 0),
 sims AS (SELECT query_id, node_id, modality, ts, query_ts, label, list_dot_product(emb, q) AS sim FROM mem, q)"""
 
 
@@ -473,5 +473,5 @@ def stream_insert_freshness(spark, d):
     rows = raw.select(F.col("vec_id").alias("node_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("vec_id") % 3).cast("int").alias("modality"), F.col("vec_id").cast("double").alias("ts"))
     insert_stream(rows, store, f"{root}/offsets").awaitTermination()
     mem = store.memories()
-    q = mem.where(F.col("node_id").isin(*src.QUERY_IDS)).select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q"), F.col("ts").alias("query_ts"))
+    q = mem.where(F.col("node_id") % src.QUERY_STEP == 0).select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q"), F.col("ts").alias("query_ts"))
     return retrieve(mem, None, q, RetrievalConfig(top_k=1, max_hops=0)).select("query_id", "node_id", F.round("score", 4).alias("score"))

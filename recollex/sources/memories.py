@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMORY = "node_id long, embedding array<float>, modality int, ts double, importance double, deleted boolean"
-QUERY_IDS = (0, 7, 42, 100, 255)
+#: Every memory whose id it divides is a query.
+QUERY_STEP = 20
 REQUEST = "cmd string, id long, modality int, embedding array<double>, timestamp double, top_k int, bfs_max_hops int, modality_filter int"
 
 
@@ -25,10 +24,10 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(v, e["vec_id"] == v["event_id"]).select(F.col("vec_id").alias("node_id"), "embedding", (F.col("vec_id") % 3).cast("int").alias("modality"), ts, "label")
 
 
-def queries(mem: DataFrame, ids: Sequence[int] = QUERY_IDS) -> DataFrame:
+def queries(mem: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     """Memories as queries at the time of the latest memory."""
     last = mem.agg(F.max("ts").alias("query_ts"))
-    return mem.where(F.col("node_id").isin(list(ids))).select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(last))
+    return mem.where(F.col("node_id") % step == 0).select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(last))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

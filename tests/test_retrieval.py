@@ -138,3 +138,18 @@ def test_graph_switches(spark):
     off = GraphConfig(ring=False, skips=False, hubs=False, rewire=True, bridges=False)
     assert graph.build(mem, off).count() == 0
     assert graph.build(mem, GraphConfig(skips=False, hubs=False, rewire=False, bridges=False)).count() == 2 * 3 * 40
+
+
+def test_topk_parts_and_odd_vectors(spark, monkeypatch):
+    """Batches cut into parts give what one part gives; vectors that aren't whole take no part."""
+    import numpy as np
+    from recollex.operators import topk
+
+    v = np.random.default_rng(5).normal(size=(60, 4))
+    mem = spark.createDataFrame([(i, x.tolist(), float(i), 0) for i, x in enumerate(v)] + [(90, None, 0.0, 0), (91, [1.0], 0.0, 0), (92, [1.0, None, 1.0, 1.0], 0.0, 0), (93, [float("nan")] * 4, 0.0, 0)], "node_id long, embedding array<double>, ts double, modality int")
+    q = spark.createDataFrame([(i, x.tolist(), 60.0) for i, x in enumerate(v[:20])] + [(99, None, 0.0)], "query_id long, q array<double>, query_ts double")
+    whole = topk.topk(mem, q, 3, rate=0.01).collect()
+    score = (v[:20] @ v.T) * np.exp(-0.01 * (60.0 - np.arange(60)))
+    assert {(r["query_id"], r["rank"], r["node_id"]) for r in whole} == {(i, j + 1, int(n)) for i in range(20) for j, n in enumerate(np.argsort(-score[i])[:3])}
+    monkeypatch.setattr(topk, "MOST_SENT", 12)
+    assert {tuple(r)[:3] for r in topk.topk(mem, q, 3, rate=0.01).collect()} == {tuple(r)[:3] for r in whole}
