@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,10 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(v, e["vec_id"] == v["event_id"]).select(F.col("vec_id").alias("node_id"), "embedding", (F.col("vec_id") % 3).cast("int").alias("modality"), ts, "label")
 
 
-def queries(mem: DataFrame, step: int = QUERY_STEP) -> DataFrame:
-    """Memories as queries at the time of the latest memory."""
+def queries(mem: DataFrame, ids: Sequence[int] | None = None, step: int = QUERY_STEP) -> DataFrame:
+    """Memories as queries at the time of the latest memory: those of the ids given, or of all ids that step divides."""
     last = mem.agg(F.max("ts").alias("query_ts"))
-    return mem.where(F.col("node_id") % step == 0).select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(last))
+    return mem.where(F.col("node_id") % step == 0 if ids is None else F.col("node_id").isin(list(ids))).select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(last))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
