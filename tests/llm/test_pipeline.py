@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from recollex.llm import packing
 
@@ -37,12 +39,13 @@ def plain(df):
 
 
 def without_copies(rows):
-    """Rows (doc_id, text, ...) without those that chains of pairs of similarity 0.8 tie to a smaller doc_id."""
+    """Rows (doc_id, text, ...) without those that chains of pairs of similarity 0.8 tie to a smaller doc_id; rows of one
+    doc_id and text count once, and of one doc_id with other texts each for itself."""
     chosen, one = [r for r in rows if r[0] is None], {}
     for r in rows:
         if r[0] is not None:
-            one[r[0]] = r
-    ids, sets = sorted(one), {}
+            one[r[0], r[1]] = r
+    ids, sets = sorted(one, key=lambda x: (x[0], x[1] or "")), {}
     for i in ids:
         w = words(one[i][1])
         sets[i] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -51,11 +54,26 @@ def without_copies(rows):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             if sets[i] and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and 5 * (k := len(sets[i] & sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - k):
-                a, b = sorted((find(i), find(j)))
+                a, b = sorted((find(i), find(j)), key=lambda x: (x[0], x[1] or ""))
                 root[b] = a
     return Counter(chosen + [one[i] for i in ids if find(i) == i])
 
 
+def test_one_id_many_texts(spark, folder):
+    """Different texts under one doc_id all stay; columns of clashing names are carried along."""
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, say(1), "en", "s", 9), (1, say(2), "en", "s", 9), (1, say(2), "en", "s", 9), (2, say(2) + " more", "en", "s", 9), (3, None, None, None, None), (3, "", "en", "s", 0), (None, say(1), "en", "s", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "_th", "id", "th", "words", "found"):
+        d = d.withColumn(name, F.lit("x"))
+    near = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    out = near(spark, d, folder)
+    assert out.columns == d.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, say(1)), (1, say(2)), (3, None), (3, ""), (None, say(1))])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, folder).columns == d.columns, name
+
+
 def test_stages(spark, folder):
     docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
