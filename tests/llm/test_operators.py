@@ -311,7 +311,7 @@ def test_jaccard_blocks():
 
 def test_components(spark):
     rng = np.random.default_rng(4)
-    e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(1000, i) for i in range(1001, 1400)]  # a chain, and a hub
     root = {x: x for p in e for x in p}
     find = lambda a: a if root[a] == a else find(root[a])
     for a, b in e:
