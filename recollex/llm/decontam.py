@@ -4,7 +4,8 @@ The index holds the postings (term, document, position) of every term that the t
 written to the shared folder. A phrase query takes the rarest terms of each window of item words: the postings of the
 rarest give alignments (position less the term's place in the item), which are intersected with the offset-adjusted
 postings of the second and third rarest. What is left is checked word by word against the document, where windows and
-hit words are counted. Proximity queries join postings of an item's rarest terms that stand within some words.
+hit words are counted. Proximity queries cut items into segments; of a segment's rarest words so many are looked up that a near
+span must hold three of them, in bins of the span's width; the document's words then decide.
 
 Everything runs on DataFrame functions. Nothing is broadcast by hint: Spark does so where a side's size permits.
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, words_column
@@ -77,15 +77,68 @@ def alignments(index: PositionalIndex, items: DataFrame, width: int) -> DataFram
     return materialize(left.select("doc_id", "th", "key", "diag").distinct(), "decon-alignments")
 
 
+@dataclass(frozen=True)
+class Proximity:
+    """A span of `slop` words is near a segment (`length` consecutive words of an item, a segment every length / 2 words) if it
+    holds `percent` of its distinct words in any order, `least` at least; segments with fewer distinct words are left out."""
+
+    length: int = 20
+    slop: int = 30
+    percent: int = 80
+    least: int = 4
+
+
+def segments(index: PositionalIndex, items: DataFrame, near: Proximity) -> DataFrame:
+    """seg, item_id, words (distinct), need, terms: (n, tid) of the rarest words, of which a near span holds `held` at least.
+
+    A near span lacks size - need of a segment's words at most. So it holds min(RAREST, need) of any size - need + RAREST."""
+    last = F.greatest(F.size("item") - near.length, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, near.length // 2))), F.array(last)))
+    cut = items.select("item_id", "item", F.explode(starts).alias("start")).select("item_id", F.array_distinct(F.slice("item", F.col("start") + 1, F.lit(near.length))).alias("words"))
+    need = F.greatest(F.lit(near.least), F.floor((F.size("words") * near.percent + 99) / 100).cast("int"))
+    cut = cut.distinct().withColumn("need", need).where(F.size("words") >= F.col("need")).withColumn("seg", F.monotonically_increasing_id())
+    cut = materialize(cut, "decon-segments")
+    counted = cut.select("seg", F.explode("words").alias("term")).join(index.terms, "term").join(index.counts, "tid", "left").select("seg", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tid").alias("t"))
+    ranked = counted.groupBy("seg").agg(F.sort_array(F.collect_list("t")).alias("terms"))  # length entries at most
+    held = F.least(F.lit(RAREST), F.col("need"))
+    return cut.join(ranked, "seg").withColumn("held", held).withColumn("terms", F.slice("terms", F.lit(1), F.size("words") - F.col("need") + F.col("held")))
+
+
+def near_candidates(index: PositionalIndex, items: DataFrame, near: Proximity) -> DataFrame:
+    """doc_id, th, item_id, words, need, bin: where a span that begins in a bin of slop words may be near a segment."""
+    seg = materialize(segments(index, items, near), "decon-rare")
+    rare = seg.select("seg", "held", F.explode("terms").alias("t")).select("seg", "held", F.col("t")["tid"].alias("tid"))
+    bins = F.floor(F.col("pos") / near.slop)
+    met = index.postings.join(rare, "tid").select("doc_id", "th", "seg", "held", "tid", F.explode(F.array(bins - 1, bins)).alias("bin")).where("bin >= 0").distinct()
+    found = met.groupBy("doc_id", "th", "seg", "bin").agg(F.count("*").alias("n"), F.first("held").alias("held")).where("n >= held")
+    return materialize(found.join(seg.select("seg", "item_id", "words", "need"), "seg").select("doc_id", "th", "item_id", "words", "need", "bin"), "decon-near")
+
+
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, items (sorted item ids), hits (places of the words in any occurring window), row (docs' columns)."""
+    return matches(docs, benchmark, width, None).drop("near")
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, near: Proximity = Proximity()) -> DataFrame:
+    """doc_id, near (sorted ids of items with a near span), row (docs' columns), for all documents."""
+    return matches(docs, benchmark, 10, near).select("doc_id", "near", "row")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int, near: Proximity | None) -> DataFrame:
+    """The columns of phrase_matches() and near, those of proximity_matches() (empty without Proximity), in one pass over texts."""
     items = item_words(benchmark)
     index = build_index(docs, items)
     found = alignments(index, items, width).join(items, "key")
-    by_doc = found.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("t2")).agg(F.collect_list(F.struct("item_id", "item", "diag")).alias("cands"))  # a document's alignments
+    slop = near.slop if near else 1
+    cand, close = "struct<item_id:string,item:array<string>,diag:int>", "struct<item_id:string,words:array<string>,need:int,bin:bigint>"
+    found = found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.struct("item_id", "item", "diag").cast(cand).alias("cand"), F.lit(None).cast(close).alias("close"))
+    if near:
+        spans = near_candidates(index, items, near)
+        found = found.unionByName(spans.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.lit(None).cast(cand).alias("cand"), F.struct("item_id", "words", "need", "bin").cast(close).alias("close")))
+    by_doc = found.groupBy("d2", "t2").agg(F.collect_list("cand").alias("cands"), F.collect_list("close").alias("closes"))  # a document's own candidates
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
     # The generator keeps a filter on hits, which Spark pushes down, from splitting the text anew for every item word.
-    joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d2"]) & (rows["th"] == by_doc["t2"]), "left").select("doc_id", F.explode(F.array(words_column(F.col("text")))).alias("words"), "cands", "row")
+    joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d2"]) & (rows["th"] == by_doc["t2"]), "left").select("doc_id", F.explode(F.array(words_column(F.col("text")))).alias("words"), "cands", "closes", "row")
 
     def matched(c):
         """Places of c's item whose word stands in the document."""
@@ -102,30 +155,25 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
         spans = F.transform(at, lambda s: F.sequence(c["diag"] + s, c["diag"] + s + F.least(F.size(c["item"]), F.lit(width)) - 1))
         return F.array_distinct(F.flatten(spans))
 
+    def is_near(c):
+        part = F.slice("words", (c["bin"] * slop + 1).cast("int"), F.lit(2 * slop))
+        holds = lambda x: F.size(F.array_intersect(x, c["words"])) >= c["need"]
+        return holds(part) & F.exists(F.sequence(F.lit(1), F.lit(slop)), lambda i: holds(F.slice(part, i, F.lit(slop))))
+
     checked = joined.withColumn("cands", F.when(F.col("cands").isNotNull(), F.transform("cands", lambda c: F.struct(c["item_id"].alias("item_id"), c["item"].alias("item"), c["diag"].alias("diag"), begun(matched(c)).alias("begun")))))
     real = F.filter("cands", lambda c: F.exists(c["begun"], lambda x: x))
-    none = F.array()
+    ids = lambda found: F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda c: c["item_id"]))), F.array().cast("array<string>"))
     return checked.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform(real, lambda c: c["item_id"]))), none.cast("array<string>")).alias("items"),
-        F.coalesce(F.array_distinct(F.flatten(F.transform(real, places))), none.cast("array<int>")).alias("hits"), "row",
+        "doc_id", F.size("words").cast("long").alias("n_words"), ids(real).alias("items"),
+        F.coalesce(F.array_distinct(F.flatten(F.transform(real, places))), F.array().cast("array<int>")).alias("hits"),
+        ids(F.filter("closes", is_near)).alias("near"), "row",
     )
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 30, least: int = 4, width: int = 10) -> DataFrame:
-    """doc_id, th, item_id, at: places of an item's rarest term with `least` of its rarest terms within slop words.
-
-    An item's rarest terms are its 2 * least rarest; postings meet in bins of slop words."""
-    items = item_words(benchmark)
-    index = build_index(docs, items)
-    terms = items.select("key", "item_id", F.explode(F.array_distinct("item")).alias("term")).join(index.terms, "term").join(index.counts, "tid")
-    ranked = terms.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("n", "tid"))).where(F.col("r") <= 2 * least)
-    held = index.postings.join(ranked.select("tid", "key", "item_id", "r"), "tid").withColumn("bin", F.floor(F.col("pos") / slop))
-    center = held.where("r = 1").select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("key").alias("k2"), F.col("pos").alias("at"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("b2"))
-    near = held.join(center, held["doc_id"].eqNullSafe(center["d2"]) & (held["th"] == center["t2"]) & (held["key"] == center["k2"]) & (held["bin"] == center["b2"])).where(F.abs(F.col("pos") - F.col("at")) <= slop)
-    return near.groupBy("doc_id", "th", "item_id", "at").agg(F.countDistinct("tid").alias("n_terms")).where(F.col("n_terms") >= least)
-
-
-def digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    m = phrase_matches(docs.select("doc_id", "text"), benchmark, width)
-    return m.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+def digest(docs: DataFrame, benchmark: DataFrame, width: int = 10, near: Proximity = Proximity()) -> DataFrame:
+    """The digest of phrase matches, and n_near and near_items (sorted, comma-joined) of proximity matches."""
+    m = matches(docs.select("doc_id", "text"), benchmark, width, near)
+    return m.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near_items"),
+    )

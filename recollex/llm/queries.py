@@ -73,10 +73,18 @@ dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS win
        FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT doc_id, dw.k, s, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS p FROM m) GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+sg AS (SELECT item_id, words, greatest(4, (80 * len(words) + 99) // 100) AS need, row_number() OVER () AS seg
+       FROM (SELECT DISTINCT item_id, list_sort(list_distinct(w[s + 1:s + 20])) AS words
+             FROM (SELECT item_id, w, unnest(list_append(generate_series(0, greatest(len(w) - 20, 0), 10), greatest(len(w) - 20, 0))) AS s FROM i WHERE len(w) > 0))),
+sw AS (SELECT seg, item_id, need, unnest(words) AS word FROM sg WHERE len(words) >= need),
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+nw AS (SELECT doc_id, item_id, need, count(DISTINCT word) OVER (PARTITION BY doc_id, seg ORDER BY p RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING) AS n FROM dp JOIN sw USING (word)),
+ng AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM nw WHERE n >= need) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
+       sha256(coalesce(g.ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near, coalesce(ng.ids, '') AS near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN ng USING (doc_id)
 """
 
 OP9_SQL = """
