@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ def quantized(df: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vecto
     return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")).alias("v"))
 
 
-def _postings(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _postings(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """dimension, row, weight of all entries that are not 0, by dimension."""
-    lengths = np.fromiter((len(v) for v in vectors), np.int64, len(vectors))
-    flat = np.fromiter((x for v in vectors for x in v), np.int64, int(lengths.sum()))
-    row = np.repeat(np.arange(len(ids)), lengths)
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
     dim = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep = flat != 0
     dim, row, flat = dim[keep], row[keep], flat[keep]
@@ -41,10 +42,10 @@ def _postings(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     return dim[order], row[order], flat[order]
 
 
-def accumulate(qids: np.ndarray, queries: list, cids: np.ndarray, cands: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def accumulate(qids: np.ndarray, queries: pa.ListArray, cids: np.ndarray, cands: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query in one pair of blocks: query id, candidate id, score."""
-    qd, qr, qw = _postings(list(qids), queries)
-    cd, cr, cw = _postings(list(cids), cands)
+    qd, qr, qw = _postings(queries)
+    cd, cr, cw = _postings(cands)
     scores = np.zeros((len(qids), len(cids)), dtype=np.int64)
     for d in np.intersect1d(qd, cd):
         a, b = slice(*np.searchsorted(qd, [d, d + 1])), slice(*np.searchsorted(cd, [d, d + 1]))
@@ -77,8 +78,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: i
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                qi, qv, ci, cv = (b.column(n)[r].as_py() for n in ("qb_ids", "qb_v", "cb_ids", "cb_v"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in accumulate(np.array(qi, np.int64), qv, np.array(ci, np.int64), cv, k)], schema=_ARROW)
+                qi, qv, ci, cv = (b.column(n)[r].values for n in ("qb_ids", "qb_v", "cb_ids", "cb_v"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in accumulate(qi.to_numpy(), qv, ci.to_numpy(), cv, k)], schema=_ARROW)
 
     found = grid.repartition(max(1, min(qb * cb, 4096)), "qb", "cb").mapInArrow(run, SCHEMA)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
