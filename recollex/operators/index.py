@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollex.functions.lineage import cut
+from recollex.functions.vectors import decayed, dot, half
+from recollex.operators.graph import ranked
 from recollex.operators.topk import best
 from recollex.plans.config import BeamConfig
 
@@ -96,7 +98,7 @@ def beam_search(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamC
                     continue
                 q = np.asarray(q, np.float64)
                 sim = lambda i: emb[i].astype(np.float64) @ q  # noqa: B023, E731
-                first = np.unique((int(qid) * 2654435761 + np.arange(cfg.seeds) * 7919) % len(ids))
+                first = np.unique([(int(qid) * 2654435761 + i * 7919) % len(ids) for i in range(cfg.seeds)])
                 beam = sorted(((-s, i) for s, i in zip(np.atleast_1d(sim(first)), first.tolist(), strict=True)))[:cfg.beam]
                 seen, done = set(first.tolist()), set()
                 for _ in range(cfg.iterations):
@@ -116,21 +118,41 @@ def beam_search(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamC
     return queries.select("query_id", "q", "query_ts").mapInPandas(run, "query_id long, rank int, node_id long, score double, modality int")
 
 
-def beam_joins(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamConfig, rounds: int = 6) -> DataFrame:
-    """The same search for indexes that fit no task: each round expands all new members of the beams by joins."""
-    from recollex.functions.vectors import decayed, dot
+def beam_joins(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamConfig = BeamConfig()) -> DataFrame:
+    """The same search, with the same result, for indexes that fit no task: seeds, rounds and parents of each query as in
+    beam_search(), by joins. A row of the state is a node that a query has seen: open, expanded, or no longer in the beam.
+    It ends when no query has an open node in its beam."""
+    open_, expanded, left = 0, 1, 2
+    mem = mem.select("node_id", half("embedding").alias("embedding") if cfg.half else F.col("embedding"), "modality", "ts")
+    q = cut(queries.select("query_id", "q", "query_ts"))
+    index = index.select(F.col("node_id").alias("src"), "dst")
+    n = mem.count()
 
-    q = queries.select("query_id", "q", "query_ts")
+    def few(df: DataFrame) -> DataFrame:
+        """df, written, with a hint to broadcast it if it has few rows; a row has three numbers."""
+        df = cut(df)
+        return F.broadcast(df) if df.count() * 32 < MOST_SENT // 8 else df
 
     def scored(keys: DataFrame) -> DataFrame:
-        return keys.join(mem.select("node_id", "embedding", "modality", "ts"), "node_id").join(F.broadcast(q), "query_id").select("query_id", "node_id", dot("embedding", "q").alias("score"), "modality", "ts", "query_ts")
-
-    pool = mem.select("node_id").orderBy(F.xxhash64("node_id")).limit(cfg.seeds)
-    beam = cut(scored(q.select("query_id").join(F.broadcast(pool))).withColumn("new", F.lit(True)))
-    for _ in range(rounds):
-        step = beam.where("new").select("query_id", F.col("node_id").alias("src")).join(index.select(F.col("node_id").alias("src"), "dst"), "src").select("query_id", F.col("dst").alias("node_id")).distinct()
-        step = step.join(beam.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-        beam = cut(best(beam.withColumn("new", F.lit(False)).unionByName(scored(step).withColumn("new", F.lit(True))), cfg.beam).drop("rank"))
+        got = mem.join(few(keys), "node_id").join(q, "query_id")
+        return got.select("query_id", "node_id", dot("embedding", "q").alias("score"), "modality", "ts", "query_ts", F.lit(open_).alias("state"))
+
+    def kept(state: DataFrame) -> DataFrame:
+        order = W.partitionBy("query_id").orderBy(F.col("state") == left, F.desc("score"), "node_id")
+        return cut(state.withColumn("state", F.when(F.row_number().over(order) > cfg.beam, left).otherwise(F.col("state"))))
+
+    place = F.pmod(F.col("query_id").cast("decimal(38,0)") * 2654435761 + F.col("i") * 7919, F.lit(max(1, n)).cast("decimal(38,0)")).cast("long")
+    seeds = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(cfg.seeds - 1))).alias("i")).select("query_id", place.alias("place")).distinct()
+    state = kept(scored(ranked(mem.select("node_id"), "node_id", "place").join(few(seeds), "place").select("query_id", "node_id")))
+    for _ in range(cfg.iterations):
+        todo = best(state.where(F.col("state") == open_), cfg.parents).select("query_id", "node_id", F.lit(True).alias("now"))
+        todo = few(todo)
+        if todo.isEmpty():
+            break
+        new = index.join(todo.withColumnRenamed("node_id", "src"), "src").select("query_id", F.col("dst").alias("node_id")).distinct().join(state, ["query_id", "node_id"], "left_anti")
+        old = state.join(todo, ["query_id", "node_id"], "left").withColumn("state", F.when(F.col("now"), expanded).otherwise(F.col("state"))).drop("now")
+        state = kept(old.unionByName(scored(new)))
+    beam = state.where(F.col("state") != left)
     if cfg.modality_filter is not None:
         beam = beam.where(F.col("modality") == cfg.modality_filter)
     return best(beam.withColumn("score", decayed(F.col("score"), F.col("query_ts") - F.col("ts"), cfg.time_decay)), cfg.top_k).select("query_id", "rank", "node_id", "score", "modality")

@@ -104,8 +104,13 @@ def test_beam_joins_and_recall(spark):
     n = index.neighbors(mem, 12, 2).cache()
     q = src.queries(mem, (0, 7, 42))
     want = {(r["query_id"], r["node_id"]) for r in topk.topk(mem, q, 5).collect()}
-    for got in (index.beam_search(mem, n, q, BeamConfig(5, 40, 40, time_decay=0.0)), index.beam_joins(mem, n, q, BeamConfig(5, 40, time_decay=0.0))):
-        assert len({(r["query_id"], r["node_id"]) for r in got.collect()} & want) >= 0.9 * len(want)
+    got = index.beam_search(mem, n, q, BeamConfig(5, 40, 40, time_decay=0.0))
+    assert len({(r["query_id"], r["node_id"]) for r in got.collect()} & want) >= 0.9 * len(want)
+    whole = lambda df: sorted((r["query_id"], r["rank"], r["node_id"], round(r["score"], 6), r["modality"]) for r in df.collect())
+    # A beam of 6 that fills and ends early, a beam cut short by its iterations, and half precision with a filter.
+    for cfg in (BeamConfig(4, 6, 30, 3, 2), BeamConfig(5, 40, 3, 1, 4, 1e-3), BeamConfig(5, 12, 4, 4, 3, half=True, modality_filter=1)):
+        assert whole(index.beam_joins(mem, n, q, cfg)) == whole(index.beam_search(mem, n, q, cfg))
+    assert index.beam_joins(mem, n, q.limit(0), BeamConfig(5)).count() == 0
 
 
 def test_percentiles(spark):
