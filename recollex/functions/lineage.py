@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it names none, a temporary one in local mode (tests);
+    elsewhere an error, as executors don't see each other's folders."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="recollex-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names; a temporary one where it names none (tests)."""
+    """df written to the checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollex-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

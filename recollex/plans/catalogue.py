@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -10,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.functions.lineage import shared_root
 from recollex.functions.vectors import decayed, dot, half, modality_name, norm, normalize
 from recollex.operators import expand, graph, index, maintain, metrics, topk
 from recollex.plans.config import BeamConfig, GraphConfig, RetrievalConfig
@@ -466,8 +466,7 @@ def stream_insert_freshness(spark, d):
     from recollex.store import MemoryStore
     from recollex.streaming.insert import insert_stream
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recollex-")).rstrip("/")
-    root = f"{root}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark).rstrip('/')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     store = MemoryStore(spark, f"{root}/log", 64)
     raw = spark.readStream.schema("vec_id long, embedding array<float>, label int").parquet(f"{d}/embeddings.parquet*")
     rows = raw.select(F.col("vec_id").alias("node_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("vec_id") % 3).cast("int").alias("modality"), F.col("vec_id").cast("double").alias("ts"))
