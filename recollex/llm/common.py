@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.functions.lineage import shared_root
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Word characters: every code point but ASCII that is neither a digit nor a small letter (texts are lower-cased first).
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -21,12 +22,8 @@ WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 fo
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; where it names none (tests), a temporary one that is then set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="recollex-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/recollex-{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one that the session names."""
+    return f"{shared_root(spark).rstrip('/')}/recollex-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
