@@ -79,14 +79,32 @@ def benchmark_corpus(spark: SparkSession, n: int, dim: int, seed: int = 42) -> D
     return synthetic(spark, n - n // 4 - n // 4, n // 4, n // 4, dim, seed)
 
 
-def frame_queries(spark: SparkSession, frames: int, dim: int, seed: int = 0x5EED0000) -> DataFrame:
-    """One unit query a frame, from the frame's own seed, at the frame's time."""
+def frame_vectors(ids: DataFrame, dim: int, seed: int = 0x5EED0000) -> DataFrame:
+    """query_id, q, query_ts of the frames in column id, which may be a stream: a unit query from the frame's own seed, at its time."""
 
     def rows(batches):
         for b in batches:
             yield pd.DataFrame({"query_id": b["id"], "q": [_unit(np.random.default_rng(seed + int(i)).standard_normal(dim)).astype(np.float32) for i in b["id"]], "query_ts": b["id"].astype(float)})
 
-    return spark.range(frames).mapInPandas(rows, "query_id long, q array<float>, query_ts double")
+    return ids.select("id").mapInPandas(rows, "query_id long, q array<float>, query_ts double")
+
+
+def frame_queries(spark: SparkSession, frames: int, dim: int, seed: int = 0x5EED0000) -> DataFrame:
+    """One unit query a frame, from the frame's own seed, at the frame's time."""
+    return frame_vectors(spark.range(frames), dim, seed)
+
+
+def views(seen: DataFrame, dim: int, drift: float, seed: int = 42, tag: int = 10, key: str = "query_id", vector: str = "q") -> DataFrame:
+    """seen (key, object_id ...) with a unit vector a row: that of its object in identity_stream(), turned by the drift. The
+    drift is drawn from tag and key, so rows don't depend on partitions."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.schema.fields)
+
+    def gen(batches):
+        for b in batches:
+            vs = [_unit(_unit(np.random.default_rng([seed, 7, int(o)]).standard_normal(dim)) + drift / np.sqrt(dim) * np.random.default_rng([seed, tag, int(i)]).standard_normal(dim)).astype(np.float32) for i, o in zip(b[key], b["object_id"], strict=True)]
+            yield b.assign(**{vector: vs})
+
+    return seen.mapInPandas(gen, f"{fields}, {vector} array<float>")
 
 
 def identity_stream(spark: SparkSession, rows: int, identities: int, dim: int, drift: float, seconds_per_row: float, seed: int = 42, shares: tuple[float, float, float] = (0, 0, 1), scaled: bool = True) -> DataFrame:
