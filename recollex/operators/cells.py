@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.functions.vectors import dot
+from recollex.operators.metrics import recall_at_k
 from recollex.operators.topk import best
 
 #: Vectors that the centroids are fitted on, whatever the size; every memory is dealt to a cell.
@@ -59,3 +60,12 @@ def search(dealt: DataFrame, queries: DataFrame, centers: np.ndarray, probes: in
         part = F.pmod(F.xxhash64("node_id"), F.lit(SPLIT)).cast("int")
         pairs = dealt.withColumn("part", part).join(wanted.withColumn("part", F.explode(F.array(*map(F.lit, range(SPLIT))))), ["cell", "part"])
     return best(pairs.select("query_id", "node_id", dot("embedding", "q").alias("score")), k).select("query_id", "rank", "node_id", "score")
+
+
+def probes_for(dealt: DataFrame, queries: DataFrame, exact: DataFrame, centers: np.ndarray, k: int, least: float = 0.9, step: int = 1) -> int:
+    """The first of step, 2 * step, 3 * step ... probes with a mean recall of `exact` (the queries' k best by a whole search) of
+    `least` or more, one search each. All cells give a whole search, so there is one."""
+    for probes in range(step, len(centers), step):
+        if (recall_at_k(search(dealt, queries, centers, probes, k), exact, k).agg(F.avg("recall")).first()[0] or 0.0) >= least:
+            return probes
+    return len(centers)
