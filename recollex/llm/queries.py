@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linkgraph, lm, neardup, packing, secrets, suffixdup, topk, toxicity
+from . import bpe, decontam, langid, linkgraph, lm, neardup, packing, secrets, suffixdup, topk, toxicity, trie, whiten
 from .common import table
 
 
@@ -56,8 +56,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_toxicity, op4_lm_scoring, op5_ngram_jaccard_join, op6_suffix_dedup, op7_language_id, op7_language_id_pages, op8_url_filters, op9_exact_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_toxicity, op4_lm_scoring, op5_ngram_jaccard_join, op6_suffix_dedup, op7_language_id, op7_language_id_pages, op8_url_filters, op9_exact_topk, op10_packing, op11_byte_bpe, op12_conversation_trie, op13_embedding_whitening)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,6 +108,26 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: list_concat([ascii(ch)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END, 4294967295::BIGINT), 4294967295)"
+OP12_SQL = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS ord, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, ord AS o, role, text FROM c JOIN t ON t.conv_id = c.base AND ord <= h UNION ALL SELECT conv_id, ord, role, text FROM t JOIN c USING (conv_id) WHERE ord > h),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS depth, role, text FROM r),
+k AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, md5(string_agg(md5(role) || md5(text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS key FROM p
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS own FROM k GROUP BY ALL),
+l AS (SELECT conv_id, max(depth) AS len FROM k GROUP BY 1),
+e AS (SELECT depth, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN l USING (conv_id) WHERE depth = len GROUP BY ALL),
+up AS (SELECT n.depth, n.key, m.key AS parent FROM n JOIN k m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n_children FROM up GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, key)),
+s AS (SELECT k.depth, k.key, sum((x.n_children = 0)::INTEGER) AS n_leaves, sum(x.own) AS saved_tokens FROM x JOIN k ON k.conv_id = x.conv_id AND k.depth <= x.depth GROUP BY ALL)
+SELECT x.conv_id, x.depth::BIGINT AS depth, pn.conv_id AS parent_conv_id, x.n_convs, x.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256, (CASE WHEN e.ids IS NULL THEN 0 ELSE len(string_split(e.ids, ',')) END)::BIGINT AS n_ends
+FROM x JOIN s USING (depth, key) LEFT JOIN e USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN n pn ON pn.depth = x.depth - 1 AND pn.key = up.parent
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op9_exact_topk": OP9_SQL, "op12_conversation_trie": OP12_SQL}
