@@ -15,7 +15,7 @@ def own_scores(reached: DataFrame, mem: DataFrame, queries: DataFrame, cfg: Retr
     a hop reaches are scored."""
     weight: Column = F.coalesce(F.col("importance"), F.lit(1.0)) if cfg.use_importance else F.lit(1.0)
     cols = ["node_id", "embedding", "ts", "modality"] + (["importance"] if cfg.use_importance else [])
-    j = reached.join(mem.select(*cols), "node_id").join(F.broadcast(queries), "query_id")
+    j = reached.join(mem.select(*cols), "node_id").join(queries, "query_id")
     own = decayed(dot("embedding", "q"), F.col("query_ts") - F.col("ts"), cfg.time_decay) * weight
     if cfg.modality_filter is not None:
         own = F.when(F.col("modality") == cfg.modality_filter, own)
@@ -24,7 +24,7 @@ def own_scores(reached: DataFrame, mem: DataFrame, queries: DataFrame, cfg: Retr
 
 def expand(seeds: DataFrame, edges: DataFrame, mem: DataFrame, queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     """query_id, node_id, score, modality, hops of seeds and all nodes within cfg.max_hops; a node takes the best parent of
-    the level that first reaches it. mem holds the nodes that may be passed."""
+    the level that first reaches it; the expansion ends where a level is empty. mem holds the nodes that may be passed."""
     visited = cut(seeds.select("query_id", "node_id", "score", "modality", F.lit(0).alias("hops")))
     front = visited
     for h in range(1, cfg.max_hops + 1):
@@ -32,5 +32,7 @@ def expand(seeds: DataFrame, edges: DataFrame, mem: DataFrame, queries: DataFram
         new = steps.groupBy("query_id", "node_id").agg(F.max("parent").alias("parent")).join(visited.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
         front = own_scores(new, mem, queries, cfg).select("query_id", "node_id", blended(F.col("parent"), F.col("own"), cfg.hop_decay, cfg.own_weight).alias("score"), "modality", F.lit(h).alias("hops"))
         front = cut(front)  # it is read twice: by the next level, and as part of what was visited
+        if front.isEmpty():
+            break
         visited = visited.union(front)
     return visited

@@ -1,8 +1,7 @@
 """Similarity of a batch of queries to all memories, and the best of each query.
 
-A batch of queries is a table. It is cut into parts of at most about MOST_SENT values by a hash of the query's id; one part
-at a time comes to the driver and goes to all tasks, which multiply blocks of memories with it and keep each query's best.
-So what is shuffled is k rows a query and task, and each part scans the memories once.
+A batch of queries is a table of any size. It is cut into blocks of about MOST_SENT values by a hash of the query's id, which
+meet columns of memories in executors (see exchange.py); k rows a query and column are shuffled once more.
 
 Defined cases: memories and queries whose vector is null, of another length than most queries' or holds null or NaN take no
 part; ties go to the smaller node_id; an empty side gives no rows.
@@ -10,15 +9,15 @@ part; ties go to the smaller node_id; an empty side gives no rows.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollex.functions.vectors import decayed, dot
+from recollex.operators import exchange
 
-MOST_SENT = 8_000_000
+#: Values of a block of queries, which a task holds.
+MOST_SENT = 4_000_000
 
 
 def best(scored: DataFrame, k: int, by: str = "score", key: str = "query_id") -> DataFrame:
@@ -42,56 +41,25 @@ def topk(mem: DataFrame, queries: DataFrame, k: int, *, rate: float = 0.0, where
     if where is not None:
         mem = mem.where(where)
     n, dims = queries.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(1))).first()
-    parts_of = max(1, -(-n * max(1, dims) // MOST_SENT))
-    queries = queries.where(_whole("q", dims)).select("query_id", "q", F.coalesce(F.col("query_ts").cast("double"), F.lit(0.0)).alias("query_ts"))
-    mem = mem.where(_whole("embedding", dims))
+    blocks = max(1, -(-n * max(1, dims) // MOST_SENT))
+    queries, mem = whole_queries(queries, dims), whole_memories(mem, dims, carry, importance)
+    return best(exchange.grid(queries, mem, k, blocks, rate=rate, carry=carry), k).select("query_id", "rank", "node_id", "score", carry)
+
+
+def whole_queries(queries: DataFrame, dims: int) -> DataFrame:
+    return queries.where(_whole("q", dims)).select("query_id", F.col("q").cast("array<double>").alias("q"), F.coalesce(F.col("query_ts").cast("double"), F.lit(0.0)).alias("query_ts"))
+
+
+def whole_memories(mem: DataFrame, dims: int, carry: str = "modality", importance: bool = False) -> DataFrame:
     weight = F.coalesce(F.col("importance"), F.lit(1.0)).cast("double") if importance else F.lit(1.0)
-    mem = mem.select("node_id", "embedding", F.col("ts").cast("double").alias("ts"), F.col(carry).cast("int").alias(carry), weight.alias("weight"))
-    parts = []
-    for i in range(parts_of):
-        if rows := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts_of)) == i).collect():
-            parts.append(_part(mem, rows, k, rate, carry))
-    if not parts:
-        return mem.sparkSession.createDataFrame([], f"query_id long, rank int, node_id long, score double, {carry} int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return best(out, k).select("query_id", "rank", "node_id", "score", carry)
-
-
-def _part(mem: DataFrame, rows: list, k: int, rate: float, carry: str) -> DataFrame:
-    ids, at = np.array([r["query_id"] for r in rows], np.int64), np.array([r["query_ts"] for r in rows], np.float64)
-    q = mem.sparkSession.sparkContext.broadcast(np.array([r["q"] for r in rows], np.float64))
-
-    def run(batches):
-        m = q.value
-        top: list | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            size = m.shape[1]
-            e = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, size)
-            node, ts, kind, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node_id", "ts", carry, "weight"))
-            s = (m @ e.T) * np.exp(-rate * np.maximum(0.0, at[:, None] - ts)) * w
-            if top is None:
-                top = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(ids)
-            for i in range(len(ids)):
-                near = np.flatnonzero(s[i] >= np.partition(s[i], len(node) - k)[len(node) - k]) if len(node) > k else np.arange(len(node))
-                both = [np.concatenate(x) for x in zip(top[i], (s[i][near], node[near], kind[near]), strict=True)]
-                keep = np.lexsort((both[1], -both[0]))[:k]
-                top[i] = tuple(x[keep] for x in both)
-        if top is not None:
-            size = [len(t[0]) for t in top]
-            cols = [np.concatenate(x) for x in zip(*top, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(cols[1]), pa.array(cols[0]), pa.array(cols[2].astype(np.int32))], names=["query_id", "node_id", "score", carry])
-
-    return mem.mapInArrow(run, f"query_id long, node_id long, score double, {carry} int")
+    mem = mem.where(_whole("embedding", dims))
+    return mem.select("node_id", "embedding", F.col("ts").cast("double").alias("ts"), F.col(carry).cast("int").alias(carry), weight.alias("weight"))
 
 
 def overfetch_rerank(mem: DataFrame, queries: DataFrame, k: int, fetch: int, rate: float) -> DataFrame:
     """The k best after decay among the `fetch` most similar."""
     first = topk(mem.withColumn("one", F.lit(0)), queries, fetch, carry="one").select("query_id", "node_id", F.col("score").alias("sim"))
-    late = first.join(mem.select("node_id", "ts", "modality"), "node_id").join(F.broadcast(queries.select("query_id", "query_ts")), "query_id")
+    late = first.join(mem.select("node_id", "ts", "modality"), "node_id").join(queries.select("query_id", "query_ts"), "query_id")
     return best(late.withColumn("score", decayed(F.col("sim"), F.col("query_ts") - F.col("ts"), rate)), k).select("query_id", "rank", "node_id", "score", "modality")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions.lineage import shared_root
 from recollex.functions.vectors import decayed, dot, half, modality_name, norm, normalize
-from recollex.operators import expand, graph, index, maintain, metrics, topk
+from recollex.operators import expand, graph, index, maintain, metrics, prune, topk
 from recollex.plans.config import BeamConfig, GraphConfig, RetrievalConfig
 from recollex.plans.retrieve import DEMOS, ablation, retrieve
 from recollex.sources import memories as src
@@ -75,7 +75,6 @@ def _graph_ctes(cfg: GraphConfig = GraphConfig()) -> str:
     pair = "SELECT least(a, b) AS a, greatest(a, b) AS b FROM {} WHERE a <> b"
     base = " UNION ".join(pair.format(t) for t in first) or "SELECT 0 AS a, 0 AS b WHERE false"
     if cfg.rewire and cfg.ring:
-        base = f"SELECT * FROM ({base}) EXCEPT ({pair.format('gone')}) UNION ({pair.format('new')})"
         base = f"(({' UNION '.join(pair.format(t) for t in first)}) EXCEPT ({pair.format('gone')})) UNION ({pair.format('new')})"
     if cfg.bridges:
         base = f"({base}) UNION ({pair.format('bridges')})"
@@ -301,10 +300,15 @@ def beam_default(spark, d):
 NOV = MEM + ", cut AS (SELECT max(node_id) * 0.9 AS c FROM mem), nov AS (SELECT a.node_id AS candidate_id, max(list_dot_product(a.emb, b.emb)) AS max_sim FROM mem a, mem b, cut WHERE a.node_id > c AND b.node_id <= c GROUP BY 1)"
 
 
-def _novelty(spark, d):
+def _split(spark, d):
+    """Memories, and the last tenth of the ids as candidates."""
     mem = src.memories(spark, d)
     c = mem.agg(F.max("node_id")).first()[0] * 0.9
-    return topk.novel(mem.where(F.col("node_id") <= c), mem.where(F.col("node_id") > c).select(F.col("node_id").alias("candidate_id"), "embedding"), NOVEL)
+    return mem.where(F.col("node_id") <= c), mem.where(F.col("node_id") > c).select(F.col("node_id").alias("candidate_id"), "embedding")
+
+
+def _novelty(spark, d):
+    return topk.novel(*_split(spark, d), NOVEL)
 
 
 @query(NOV + " SELECT candidate_id, round(max_sim, 6) AS max_sim FROM nov")
@@ -317,6 +321,17 @@ def novelty_gate(spark, d):
     return _novelty(spark, d).select("candidate_id", "accepted")
 
 
+@query(SQL["novelty_max_sim"])
+def novelty_max_sim_pruned(spark, d):
+    """The same by cells, of which those are left out whose bound is below what was found."""
+    return _out(prune.max_similarity(*_split(spark, d)), "candidate_id", "max_sim")
+
+
+@query(SQL["novelty_gate"])
+def novelty_gate_pruned(spark, d):
+    return prune.novel(*_split(spark, d), NOVEL).select("candidate_id", "accepted")
+
+
 @query(MEM + f", hit AS (SELECT DISTINCT node_id FROM ({_top('sims', _final(RATE), 10)})) SELECT mem.node_id, round(CASE WHEN hit.node_id IS NULL THEN w ELSE least(w + 0.1, 5.0) END, 6) AS importance FROM (SELECT node_id, (1.0 + (node_id % 5) * 0.5) * 0.999 AS w FROM mem) mem LEFT JOIN hit USING (node_id)")
 def importance_update(spark, d):
     mem, q = _both(spark, d)
@@ -362,7 +377,7 @@ def dim_validation(spark, d):
 def _answers(spark, d):
     """Top-10 by decayed similarity with times and labels."""
     mem, q = _both(spark, d)
-    r = topk.topk(mem, q, 10, rate=RATE).join(mem.select("node_id", "ts", "label"), "node_id").join(F.broadcast(q.select("query_id", "query_ts")), "query_id")
+    r = topk.topk(mem, q, 10, rate=RATE).join(mem.select("node_id", "ts", "label"), "node_id").join(q.select("query_id", "query_ts"), "query_id")
     return r, mem, q
 
 
