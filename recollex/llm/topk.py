@@ -6,9 +6,10 @@ terms, one at a time, and scatters weight times postings into a dense array of s
 of each row are selected by partition, and the lists of all blocks are merged by one grouped top-k. Blocks of queries
 meet blocks of candidates through an equi-join on the number of the query block.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; components that a shorter vector
-lacks are 0; a candidate with the query's id is its own; repeated query rows (same id and vector) give one list; a query
-without candidates gives no rows; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+Defined cases: vectors that are null or hold null or non-finite components take no part, and neither do null ids; components
+that a shorter vector lacks are 0; an id stands for all its distinct vectors, and the score of two ids is the greatest of
+their vectors', so repeated rows and ids give one list with each candidate once; a candidate with the query's id is its own;
+a query without candidates gives no rows; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +43,15 @@ def _postings(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return dim[order], row[order], flat[order]
 
 
+def _greatest(scores: np.ndarray, ids: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row or column an id, with the greatest scores of its vectors."""
+    order = np.argsort(ids, kind="stable")
+    one, first = np.unique(ids[order], return_index=True)
+    return (scores, ids) if len(one) == len(ids) else (np.maximum.reduceat(np.take(scores, order, axis), first, axis), one)
+
+
 def accumulate(qids: np.ndarray, queries: pa.ListArray, cids: np.ndarray, cands: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in one pair of blocks: query id, candidate id, score."""
+    """The k best candidate ids of each query id in one pair of blocks: query id, candidate id, score."""
     qd, qr, qw = _postings(queries)
     cd, cr, cw = _postings(cands)
     scores = np.zeros((len(qids), len(cids)), dtype=np.int64)
@@ -54,6 +62,8 @@ def accumulate(qids: np.ndarray, queries: pa.ListArray, cids: np.ndarray, cands:
             scores += add
         else:
             scores[np.ix_(qr[a], cr[b])] += add
+    scores, qids = _greatest(scores, qids, 0)
+    scores, cids = _greatest(scores, cids, 1)
     out = []
     for i, q in enumerate(qids):
         row, free = scores[i], cids != q
@@ -68,10 +78,10 @@ def accumulate(qids: np.ndarray, queries: pa.ListArray, cids: np.ndarray, cands:
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: int = 512, candidate_block: int = 4096) -> DataFrame:
     """queries, candidates: (id, v) of longs. Returns query_id, rank, vec_id, score."""
-    queries = queries.dropDuplicates(["id", "v"])
+    queries, candidates = queries.dropDuplicates(["id", "v"]), candidates.dropDuplicates(["id", "v"])
     nq, nc = queries.count(), candidates.count()
     qb, cb = max(1, -(-nq // query_block)), max(1, -(-nc // candidate_block))
-    pack = lambda df, n, b: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(b)).agg(F.collect_list("id").alias(f"{b}_ids"), F.collect_list("v").alias(f"{b}_v"))
+    pack = lambda df, n, b: df.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias(b)).agg(F.collect_list("id").alias(f"{b}_ids"), F.collect_list("v").alias(f"{b}_v"))
     left, right = pack(queries, qb, "qb"), pack(candidates, cb, "cb")
     grid = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).join(left, "qb")
 
@@ -81,6 +91,6 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: i
                 qi, qv, ci, cv = (b.column(n)[r].values for n in ("qb_ids", "qb_v", "cb_ids", "cb_v"))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in accumulate(qi.to_numpy(), qv, ci.to_numpy(), cv, k)], schema=_ARROW)
 
-    found = grid.repartition(max(1, min(qb * cb, 4096)), "qb", "cb").mapInArrow(run, SCHEMA)
+    found = grid.repartition(max(1, min(qb * cb, 4096)), "qb", "cb").mapInArrow(run, SCHEMA).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollex.llm import bpe, prefix, trie, whiten
+from recollex.llm import bpe, prefix, queries, topk, trie, whiten
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 EMPTY = sha(b"")
@@ -201,3 +201,30 @@ def test_whitening_cases(spark):
     assert any(r["deviation"] is None for r in far) and all(r["identity_error"] < 1e-4 for r in far)
     tie = of([(0, [1.0]), (1, [2.0]), (2, [1.0, 2.0]), (3, [2.0, 5.0])])  # of two equally frequent lengths the shorter
     assert {r["vec_id"] for r in tie} == {0, 1}
+
+
+@pytest.mark.parametrize(("query_block", "candidate_block"), [(512, 4096), (2, 7)])
+def test_topk_of_repeated_ids(spark, tmp_path, query_block, candidate_block):
+    """Ids with several vectors, repeated rows, null ids: one list an id, each candidate once; against brute force and SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in rng.choice([0, 50, 100, 1, 2, 3, 4, 5, 6, 7], 60)]
+    rows += rows[:9] + [(2, [9.0] * 4)] * 30 + [(None, [9.0] * 4), (8, None), (9, [None, 1.0, 1.0, 1.0]), (100, [float("nan")] * 4), (150, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1))
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = set()
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        score = {}
+        for a, x in rows:
+            for b, y in rows if a == q else ():
+                if b != q:
+                    score[b] = max(score.get(b, -(10**9)), int(x @ y))
+        want |= {(q, r + 1, b, s) for r, (s, b) in enumerate(sorted(((s, b) for b, s in score.items()), key=lambda t: (-t[0], t[1]))[:5])}
+    v = topk.quantized(df)
+    got = topk.search(v.where("id % 50 = 0"), v, 5, query_block, candidate_block).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert {(r[0], r[1], r[2], r[3]) for r in con.sql(queries.OP9_SQL).fetchall()} == want
