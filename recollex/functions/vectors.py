@@ -53,3 +53,21 @@ def draw(tag: str, a: Column, b: Column, seed: int) -> Column:
     """A portable pseudo-random integer below 2 ** 32 for (tag, a, b, seed), from md5."""
     text = F.concat_ws(":", F.lit(tag), a.cast("string"), b.cast("string"), F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def float_bits(x: Column) -> Column:
+    """The 32 bits of a single-precision number, as a long from 0."""
+    x = x.cast("float")
+    a = F.abs(x).cast("double")
+    guess = F.floor(F.log2(a)).cast("int")  # the logarithm may round to the next whole number
+    power = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(power(guess) > a, guess - 1).when(power(guess + 1) <= a, guess + 1).otherwise(guess)
+    normal = (e + 127).cast("long") * (1 << 23) + ((a / power(e) - 1) * (1 << 23)).cast("long")
+    size = F.when(F.isnan(x), 0x7FC00000).when(a == float("inf"), 0x7F800000).when(a < 2.0**-126, (a * 2.0**149).cast("long")).otherwise(normal)
+    return size + F.when(x.cast("string").startswith("-"), 1 << 31).otherwise(0)
+
+
+def query_hash(q: Column) -> Column:
+    """Exclusive or of the bits of a vector's first two components; what is missing counts as 0."""
+    at = lambda i: F.coalesce(float_bits(F.get(q, F.lit(i))), F.lit(0).cast("long"))
+    return at(0).bitwiseXOR(at(1))

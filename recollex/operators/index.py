@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollex.functions.lineage import cut
-from recollex.functions.vectors import decayed, dot, half
+from recollex.functions.vectors import decayed, dot, half, query_hash
 from recollex.operators.graph import ranked
 from recollex.operators.topk import best
 from recollex.plans.config import BeamConfig
@@ -28,7 +28,7 @@ def knn(mem: DataFrame, k: int, block: int = 4096) -> DataFrame:
     blocks = max(1, -(-n // block))
     cut = mem.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("node_id", "embedding", "modality"))).alias("rows"))
     left = cut.select("b", F.col("rows").alias("a_rows"))
-    right = cut.select(F.col("rows").alias("c_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = cut.select(F.col("b").alias("c"), F.col("rows").alias("c_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def run(batches):
         for b in batches:
@@ -48,7 +48,7 @@ def knn(mem: DataFrame, k: int, block: int = 4096) -> DataFrame:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["src", "node_id", "score", "modality"])
 
-    found = left.join(right, "b").repartition(max(1, min(4096, blocks * blocks)), F.rand(7)).mapInArrow(run, "src long, node_id long, score double, modality int")
+    found = left.join(right, "b").repartitionById(max(1, min(4096, blocks * blocks)), F.pmod(F.col("b") + F.col("c") * blocks, F.lit(max(1, min(4096, blocks * blocks)))).cast("int")).mapInArrow(run, "src long, node_id long, score double, modality int")
     return found
 
 
@@ -76,6 +76,13 @@ def neighbors(mem: DataFrame, degree: int = 64, cross: int = 4) -> DataFrame:
     return plain.union(bridge).withColumnRenamed("src", "node_id")
 
 
+def seeds(q: np.ndarray, n: int, of: int) -> np.ndarray:
+    """Places where the search for q starts, from the bits of its first two components as single-precision numbers."""
+    bits = np.zeros(2, np.uint32)
+    bits[: len(q)] = np.asarray(q[:2], np.float32).view(np.uint32)
+    return (int(bits[0] ^ bits[1]) + np.arange(n) * 7919) % (1 << 32) % of
+
+
 def beam_search(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamConfig = BeamConfig()) -> DataFrame:
     """query_id, rank, node_id, score, modality: search of the neighbour lists, then decay, then the best."""
     n, dim = mem.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -98,7 +105,7 @@ def beam_search(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamC
                     continue
                 q = np.asarray(q, np.float64)
                 sim = lambda i: emb[i].astype(np.float64) @ q  # noqa: B023, E731
-                first = np.unique([(int(qid) * 2654435761 + i * 7919) % len(ids) for i in range(cfg.seeds)])
+                first = np.unique(seeds(q, cfg.seeds, len(ids)))
                 beam = sorted(((-s, i) for s, i in zip(np.atleast_1d(sim(first)), first.tolist(), strict=True)))[:cfg.beam]
                 seen, done = set(first.tolist()), set()
                 for _ in range(cfg.iterations):
@@ -141,8 +148,8 @@ def beam_joins(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamCo
         order = W.partitionBy("query_id").orderBy(F.col("state") == left, F.desc("score"), "node_id")
         return cut(state.withColumn("state", F.when(F.row_number().over(order) > cfg.beam, left).otherwise(F.col("state"))))
 
-    place = F.pmod(F.col("query_id").cast("decimal(38,0)") * 2654435761 + F.col("i") * 7919, F.lit(max(1, n)).cast("decimal(38,0)")).cast("long")
-    seeds = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(cfg.seeds - 1))).alias("i")).select("query_id", place.alias("place")).distinct()
+    place = (F.col("h") + F.col("i") * 7919) % (1 << 32) % max(1, n)
+    seeds = q.select("query_id", query_hash(F.col("q")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(cfg.seeds - 1))).alias("i")).select("query_id", place.cast("long").alias("place")).distinct()
     state = kept(scored(ranked(mem.select("node_id"), "node_id", "place").join(few(seeds), "place").select("query_id", "node_id")))
     for _ in range(cfg.iterations):
         todo = best(state.where(F.col("state") == open_), cfg.parents).select("query_id", "node_id", F.lit(True).alias("now"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollex.operators.prefix import running
+
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999, "p9999": 0.9999}
 
 
@@ -33,13 +35,13 @@ def any_row(results: DataFrame, holds: Column, name: str) -> DataFrame:
 def lower_percentiles(samples: DataFrame, value: str, key: str, at: Mapping[str, float] = PERCENTILES, rule: str = "floor") -> DataFrame:
     """Exact percentiles as one of the samples: place floor(p * (n - 1)), or min(floor(n * p), n - 1) with rule "count".
 
-    Samples are first counted by value, so a key's rows are its distinct values."""
-    from pyspark.sql import Window as W
-
-    counted = samples.where(F.col(value).isNotNull()).groupBy(key, value).count()
-    upto = counted.withColumn("c", F.sum("count").over(W.partitionBy(key).orderBy(value))).withColumn("n", F.sum("count").over(W.partitionBy(key)))
+    Samples are first counted by value; ranges of (key, value) then count on, so a key of any size is spread over all tasks,
+    and what is left is one row a key."""
+    counted = samples.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("count"))
+    upto = running(counted, key, [value], sums=["count"])
+    total = upto.groupBy(F.col(key).alias("_key")).agg(F.sum("count").alias("n"))
     place = lambda p: F.floor(F.lit(p) * (F.col("n") - 1)) if rule == "floor" else F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1)
-    return upto.groupBy(key).agg(*[F.min(F.when(F.col("c") > place(p), F.col(value))).alias(name) for name, p in at.items()])
+    return upto.join(total, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key).agg(*[F.min(F.when(F.col("count_upto") > place(p), F.col(value))).alias(name) for name, p in at.items()])
 
 
 def latency_stats(samples: DataFrame, value: str, key: str) -> DataFrame:

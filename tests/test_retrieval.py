@@ -158,3 +158,21 @@ def test_topk_parts_and_odd_vectors(spark, monkeypatch):
     assert {(r["query_id"], r["rank"], r["node_id"]) for r in whole} == {(i, j + 1, int(n)) for i in range(20) for j, n in enumerate(np.argsort(-score[i])[:3])}
     monkeypatch.setattr(topk, "MOST_SENT", 12)
     assert {tuple(r)[:3] for r in topk.topk(mem, q, 3, rate=0.01).collect()} == {tuple(r)[:3] for r in whole}
+
+
+@pytest.mark.parametrize("rule", ["floor", "count"])
+def test_percentiles_of_one_huge_run(spark, rule):
+    """Nearly all samples in one run, a null run, ties, nulls and NaN-free extremes; ranges of one run are counted side by side."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    runs = {"big": rng.integers(0, 4000, 20_000) / 8, "one": np.array([7.0]), None: np.array([3.0, 1.0, 1.0, -2.0])}
+    rows = [(k, float(v)) for k, vs in runs.items() for v in vs] + [("big", None), ("none", None)]
+    s = spark.createDataFrame(rows, "run string, ms double").repartition(5)
+    got = {r["run"]: r.asDict() for r in metrics.lower_percentiles(s, "ms", "run", rule=rule).collect()}
+    assert set(got) == set(runs)
+    for k, v in runs.items():
+        v = np.sort(v)
+        for name, p in metrics.PERCENTILES.items():
+            assert got[k][name] == v[int(np.floor(p * (len(v) - 1))) if rule == "floor" else min(int(np.floor(len(v) * p)), len(v) - 1)]
+    assert "Window" not in metrics.lower_percentiles(s, "ms", "run")._jdf.queryExecution().executedPlan().toString()
