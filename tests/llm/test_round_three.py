@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollex.llm import bpe, prefix, queries, topk, trie, whiten
+from recollex.llm import bpe, queries, topk, trie, whiten
+from recollex.operators import prefix
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 EMPTY = sha(b"")
