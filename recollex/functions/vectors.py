@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +36,29 @@ def half(a: Column | str) -> Column:
     return F.transform(a, rounded)
 
 
+def pack_half(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """df with the vector as bytes: two a component, little-endian half floats (ties to even); null for a null vector or
+    one with a null component. A quarter of the memory of doubles, half of floats, in files and shuffles alike."""
+
+    def run(batches):
+        for b in batches:
+            v = b.column(vector)
+            flat, lengths = v.flatten(), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                raw = flat.to_numpy(zero_copy_only=False).astype(np.float64).astype("<f2").tobytes()
+            gaps = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+            ends = np.cumsum(lengths)
+            packed = [None if null or gaps[e] != gaps[e - n] else raw[2 * (e - n) : 2 * e] for null, n, e in zip(v.is_null().to_pylist(), lengths, ends, strict=True)]
+            yield b.set_column(b.schema.get_field_index(vector), vector, pa.array(packed, pa.binary()))
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == vector else f.dataType.simpleString()}" for f in df.schema))
+
+
+def unpack_half(vectors: pa.Array, n: int) -> np.ndarray:
+    """A matrix of a column that pack_half() made."""
+    return np.frombuffer(b"".join(vectors.to_pylist()), dtype="<f2").reshape(n, -1).astype(np.float64)
+
+
 def decayed(score: Column, age: Column, rate: float) -> Column:
     """Exponential decay by age in seconds; what is in the future doesn't decay. Negative scores move towards 0, too."""
     return score * F.exp(F.lit(-rate) * F.greatest(F.lit(0.0), age))

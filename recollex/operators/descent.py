@@ -50,8 +50,8 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 def descend(mem: DataFrame, k: int, pool: int | None = None, rounds: int = 12, least_change: float = 0.002, seed: int = 7) -> tuple[DataFrame, list[int]]:
     """node_id, rank, dst, sim of the k nearest found, and the number of changed neighbours of each round. pool: neighbours kept
-    on the way (by default 2 k, 20 at least); the more, the higher the recall."""
-    pool = max(pool or max(2 * k, 20), k)
+    on the way (by default 4 k, 32 at least); the more, the higher the recall."""
+    pool = max(pool or max(4 * k, 32), k)
     dims = (mem.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first() or {"d": 1})["d"]
     nodes = cut(whole_memories(mem.withColumn("one", F.lit(0)).withColumn("ts", F.lit(0.0)), dims, "one").select(F.col("node_id").alias("id"), "embedding"))
     n = nodes.count()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollex.functions.vectors import decayed, dot
+from recollex.functions.vectors import decayed, dot, unpack_half
 from recollex.operators import exchange
 
 #: Values of a block of queries, which a task holds.
@@ -37,13 +37,15 @@ def _whole(vector: str, dims: int) -> Column:
 
 
 def topk(mem: DataFrame, queries: DataFrame, k: int, *, rate: float = 0.0, where: Column | None = None, importance: bool = False, carry: str = "modality") -> DataFrame:
-    """query_id, rank, node_id, score, and `carry`: the k best by decayed similarity among memories for which `where` holds."""
+    """query_id, rank, node_id, score, and `carry`: the k best by decayed similarity among memories for which `where` holds.
+    Memories' vectors may be arrays or what pack_half() makes of them."""
     if where is not None:
         mem = mem.where(where)
     n, dims = queries.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(1))).first()
     blocks = max(1, -(-n * max(1, dims) // MOST_SENT))
+    packed = {"unpack": unpack_half} if dict(mem.dtypes)["embedding"] == "binary" else {}
     queries, mem = whole_queries(queries, dims), whole_memories(mem, dims, carry, importance)
-    return best(exchange.grid(queries, mem, k, blocks, rate=rate, carry=carry), k).select("query_id", "rank", "node_id", "score", carry)
+    return best(exchange.grid(queries, mem, k, blocks, rate=rate, carry=carry, **packed), k).select("query_id", "rank", "node_id", "score", carry)
 
 
 def whole_queries(queries: DataFrame, dims: int) -> DataFrame:
@@ -52,7 +54,10 @@ def whole_queries(queries: DataFrame, dims: int) -> DataFrame:
 
 def whole_memories(mem: DataFrame, dims: int, carry: str = "modality", importance: bool = False) -> DataFrame:
     weight = F.coalesce(F.col("importance"), F.lit(1.0)).cast("double") if importance else F.lit(1.0)
-    mem = mem.where(_whole("embedding", dims))
+    if dict(mem.dtypes)["embedding"] == "binary":
+        mem = mem.where(F.octet_length("embedding") == 2 * dims)  # a NaN has all bits of its exponent set; packing keeps it
+    else:
+        mem = mem.where(_whole("embedding", dims))
     return mem.select("node_id", "embedding", F.col("ts").cast("double").alias("ts"), F.col(carry).cast("int").alias(carry), weight.alias("weight"))
 
 

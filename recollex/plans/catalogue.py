@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.functions.lineage import shared_root
-from recollex.functions.vectors import decayed, dot, half, modality_name, norm, normalize
-from recollex.operators import expand, graph, index, maintain, metrics, prune, topk
+from recollex.functions.vectors import decayed, dot, modality_name, norm, normalize, pack_half
+from recollex.operators import descent, expand, graph, index, maintain, metrics, prune, topk
 from recollex.plans.config import BeamConfig, GraphConfig, RetrievalConfig
 from recollex.plans.retrieve import DEMOS, ablation, retrieve
 from recollex.sources import memories as src
@@ -135,10 +135,14 @@ def temporal_decay(spark, d):
     return _out(s.withColumn("score", decayed(F.col("sim"), F.col("query_ts") - F.col("ts"), RATE)), "query_id", "node_id", "score")
 
 
-@query()
+_STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"
+HALF = MEM.replace("list_dot_product(emb, q) AS sim", f"list_dot_product(list_transform(emb, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END), q) AS sim")
+
+
+@query(HALF + " SELECT query_id, rank, node_id, score FROM (" + _rounded(_top("sims", "sim", 10)) + ")")
 def half_similarity(spark, d):
     mem, q = _both(spark, d)
-    return _out(topk.topk(mem.withColumn("embedding", half("embedding")), q, 10), "query_id", "rank", "node_id", "score")
+    return _out(topk.topk(pack_half(mem), q, 10), "query_id", "rank", "node_id", "score")
 
 
 @query("SELECT (vec_id % 3)::INTEGER AS modality, CASE vec_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'audio' ELSE 'image' END AS name, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -260,7 +264,7 @@ for _name, (_cfg, _) in DEMOS.items():
     _retrieval(f"demo_{_name}", replace(_cfg, **NO_NORM), GraphConfig())
 
 
-@query()
+@query("SELECT query_id, '{\"results\":[' || string_agg('{\"id\":' || node_id || ',\"score\":' || score || ',\"modality\":' || modality || ',\"hops\":' || hops || '}', ',' ORDER BY rank) || ']}' AS line FROM (" + _retrieve_sql(CFG, RING, 2) + ") GROUP BY query_id")
 def answer_lines(spark, d):
     mem, q = _both(spark, d)
     return result_lines(retrieve(mem, graph.build(mem, RING), q, CFG))
@@ -282,6 +286,12 @@ def knn_bridges(spark, d):
     return index.neighbors(src.memories(spark, d), 8, 2).select("node_id", F.col("slot").cast("int").alias("slot"), "dst", "kind")
 
 
+@query()
+def knn_descent(spark, d):
+    """The k-NN graph by neighbour descent: approximate, so without SQL; its recall of knn_graph is tested."""
+    return _out(descent.descend(src.memories(spark, d), 8)[0], "node_id", "rank", "dst", "sim")
+
+
 @query(SQL["topk_decayed"])
 def beam_exhaustive(spark, d):
     mem, q = _both(spark, d)
@@ -475,7 +485,9 @@ def stage_throughput(spark, d):
 
 # Streams --------------------------------------------------------------------------------------------------------------
 
-@query()
+@query("""WITH m AS (SELECT vec_id, list_transform(e, lambda x: (x / (sqrt(list_dot_product(e, e)) + 1e-8))::FLOAT::DOUBLE) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS node_id, list_dot_product(a.v, b.v) * exp(-1e-8 * greatest(0, a.vec_id - b.vec_id)) AS score FROM m a, m b WHERE a.vec_id % 20 = 0)
+SELECT query_id, node_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM s) WHERE r = 1""")
 def stream_insert_freshness(spark, d):
     """Streams the table into a store and asks it: each inserted query vector finds itself."""
     from recollex.store import MemoryStore
