@@ -87,6 +87,14 @@ def build(mem: DataFrame, cfg: GraphConfig = GraphConfig()) -> DataFrame:
     return cut(s.join(back.select(F.col("idx").alias("src"), F.col("node_id").alias("s")), "src").join(back.select(F.col("idx").alias("dst"), F.col("node_id").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")))
 
 
+def store(edges: DataFrame, mem: DataFrame, name: str, path: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Edges by source and memories by id as tables of as many buckets, `<name>_edges` and `<name>_memories` under path: a hop
+    then shuffles its frontier only, to the buckets, and neither edges nor vectors."""
+    for what, df, key in (("edges", edges, "src"), ("memories", mem, "node_id")):
+        df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{path.rstrip('/')}/{name}_{what}").saveAsTable(f"{name}_{what}")
+    return mem.sparkSession.table(f"{name}_edges"), mem.sparkSession.table(f"{name}_memories")
+
+
 def rows(edges: DataFrame) -> DataFrame:
     """src, neighbors: sorted targets of each node."""
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))

@@ -264,6 +264,16 @@ for _name, (_cfg, _) in DEMOS.items():
     _retrieval(f"demo_{_name}", replace(_cfg, **NO_NORM), GraphConfig())
 
 
+@query(SQL["bfs_2hop"])
+def bfs_2hop_stored(spark, d):
+    """bfs_2hop over edges and memories in buckets, which hops read without a shuffle."""
+    mem, q = _both(spark, d)
+    name = f"g_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges, stored = graph.store(graph.build(mem, RING), mem, name, f"{shared_root(spark).rstrip('/')}/{name}", buckets)
+    return _out(retrieve(stored, edges, q, replace(CFG, max_hops=2, hop_decay=0.8)), *RES)
+
+
 @query("SELECT query_id, '{\"results\":[' || string_agg('{\"id\":' || node_id || ',\"score\":' || score || ',\"modality\":' || modality || ',\"hops\":' || hops || '}', ',' ORDER BY rank) || ']}' AS line FROM (" + _retrieve_sql(CFG, RING, 2) + ") GROUP BY query_id")
 def answer_lines(spark, d):
     mem, q = _both(spark, d)
