@@ -1,4 +1,8 @@
-"""A store of memories: a log of insertions and deletions in Parquet, read as its latest state."""
+"""A store of memories: a log of insertions and deletions in Parquet, read as its latest state.
+
+compact() turns the log into a base, one row a node, in folders by modality and day; what is committed after it is the delta.
+The state is the base without the nodes of the delta, and the delta's latest rows; filters on modality and time therefore skip
+folders of the base, and only the delta is reduced. A growing store adds edges with each insertion instead of rebuilding."""
 
 from __future__ import annotations
 
@@ -10,22 +14,25 @@ from pyspark.sql import functions as F
 
 from recollex.functions.vectors import normalize
 from recollex.operators import graph
+from recollex.operators.growing import GrowingGraph
 from recollex.operators.maintain import latest
 from recollex.plans.config import GraphConfig, RetrievalConfig
 from recollex.plans.retrieve import retrieve
 from recollex.sources.memories import MEMORY
 
 LOG = MEMORY + ", batch_id long, seq long"
+DAY = 86_400
 
 
 class MemoryStore:
     """add, delete, query, stats, save, load. Each commit is one directory of the log, named by its batch, so a batch that
     runs again replaces itself; edges are rebuilt when the rule of needs_rebuild() says so."""
 
-    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, graph_config: GraphConfig = GraphConfig()) -> None:
+    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, graph_config: GraphConfig = GraphConfig(), growing: bool = False) -> None:
         self.spark, self.path, self.dim, self.graph_config = spark, path.rstrip("/"), dim, graph_config
         self._edges: DataFrame | None = None
         self._built_at = 0
+        self._growing = GrowingGraph(spark, f"{self.path}/graph", graph_config) if growing else None
         self._batch = self._last() + 1
 
     def _fs(self):
@@ -33,11 +40,17 @@ class MemoryStore:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
+    def _numbers(self, kind: str) -> list[int]:
+        """Numbers of the log's batches ("b") or of the whole bases ("base"), in order."""
+        fs, p, jvm = self._fs()
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        found = [int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=")]
+        if kind == "base":
+            found = [n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/base={n:012d}/_SUCCESS"))]
+        return sorted(found)
+
     def _last(self) -> int:
-        fs, p, _ = self._fs()
-        if not fs.exists(p):
-            return -1
-        return max((int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("b=")), default=-1)
+        return max([-1, *self._numbers("b"), *self._numbers("base")])
 
     def commit(self, rows: DataFrame, batch_id: int | None = None) -> int:
         b = self._batch if batch_id is None else batch_id
@@ -52,7 +65,10 @@ class MemoryStore:
             rows = rows.where(F.size("embedding") == self.dim)
         if "importance" not in rows.columns:
             rows = rows.withColumn("importance", F.lit(1.0))
-        return self.commit(rows.withColumn("embedding", normalize("embedding").cast("array<float>")).withColumn("deleted", F.lit(False)), batch_id)
+        b = self.commit(rows.withColumn("embedding", normalize("embedding").cast("array<float>")).withColumn("deleted", F.lit(False)), batch_id)
+        if self._growing:
+            self._growing.insert(self.spark.read.schema(LOG).parquet(f"{self.path}/b={b:012d}").select("node_id", "modality"), b)
+        return b
 
     def invalid(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.size("embedding") != (self.dim or -1)).select("node_id", F.size("embedding").alias("dim")) if self.dim else rows.limit(0).select("node_id", F.lit(0).alias("dim"))
@@ -61,18 +77,35 @@ class MemoryStore:
         """Unknown ids are ignored; adding a deleted id again brings it back."""
         return self.commit(self.state().join(ids.select("node_id").distinct(), "node_id", "left_semi").withColumn("deleted", F.lit(True)), batch_id)
 
-    def state(self) -> DataFrame:
-        if self._last() < 0:
-            return self.spark.createDataFrame([], MEMORY)
-        return latest(self.spark.read.schema(LOG).parquet(f"{self.path}/b=*")).selectExpr(*[c.split()[0] for c in MEMORY.split(", ")])
-
-    def memories(self) -> DataFrame:
-        return self.state().where("not deleted")
+    def state(self, modality: int | None = None, since: float | None = None, until: float | None = None) -> DataFrame:
+        """The latest row of every node; with a modality or bounds of ts (inclusive), of those nodes only."""
+        cols = [c.split()[0] for c in MEMORY.split(", ")]
+        bases = self._numbers("base")
+        after = [n for n in self._numbers("b") if not bases or n > bases[-1]]
+        delta = latest(self.spark.read.schema(LOG).parquet(*[f"{self.path}/b={n:012d}" for n in after])).select(*cols) if after else self.spark.createDataFrame([], MEMORY)
+
+        def asked(df: DataFrame) -> DataFrame:
+            for on, holds in ((modality, F.col("modality") == modality), (since, F.col("ts") >= since), (until, F.col("ts") <= until)):
+                df = df.where(holds) if on is not None else df
+            return df.select(*cols)
+
+        if not bases:
+            return asked(delta)
+        base = self.spark.read.schema(MEMORY + ", day long").parquet(f"{self.path}/base={bases[-1]:012d}")
+        for at, holds in ((since, F.col("day") >= int((since or 0) // DAY)), (until, F.col("day") <= int((until or 0) // DAY))):
+            base = base.where(holds) if at is not None else base
+        base = asked(base)
+        return base.join(delta.select("node_id"), "node_id", "left_anti").select(*cols).unionByName(asked(delta)) if after else base
+
+    def memories(self, modality: int | None = None, since: float | None = None, until: float | None = None) -> DataFrame:
+        return self.state(modality, since, until).where("not deleted")
 
     def needs_rebuild(self, n: int) -> bool:
         return self._edges is None or n >= 2 * max(1, self._built_at) or n - self._built_at > 1000
 
     def edges(self) -> DataFrame:
+        if self._growing:
+            return self._growing.edges(self.state().where("deleted").select("node_id"))
         mem = self.memories()
         n = mem.count()
         if self.needs_rebuild(n):
@@ -80,7 +113,8 @@ class MemoryStore:
         return self._edges
 
     def query(self, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-        return retrieve(self.memories(), self.edges() if cfg.max_hops else None, queries, cfg)
+        mem = self.memories() if cfg.max_hops else self.memories(cfg.modality_filter)  # hops pass through all modalities
+        return retrieve(mem, self.edges() if cfg.max_hops else None, queries, cfg)
 
     def timed_query(self, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> tuple[list, float]:
         t = time.perf_counter()
@@ -99,13 +133,18 @@ class MemoryStore:
         return self.commit(self.spark.read.schema(MEMORY).parquet(path))
 
     def compact(self) -> None:
-        """Writes the state as one new batch and drops the batches before it."""
-        b = self.commit(self.state())
-        fs, p, jvm = self._fs()
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("b=") and int(name[2:]) < b:
-                fs.delete(s.getPath(), True)
+        """Writes the state as a base and drops the batches and bases before it. A base counts once it is whole."""
+        b = self._last()
+        if b < 0:
+            return
+        day = F.floor(F.col("ts") / DAY)
+        self.state().withColumn("day", day).repartition("modality", "day").write.mode("overwrite").partitionBy("modality", "day").parquet(f"{self.path}/base={b + 1:012d}")
+        self._batch = max(self._batch, b + 2)
+        fs, _, jvm = self._fs()
+        for kind in ("b", "base"):
+            for n in self._numbers(kind):
+                if n <= b:
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={n:012d}"), True)
 
     def with_graph(self, cfg: GraphConfig) -> "MemoryStore":
         other = MemoryStore(self.spark, self.path, self.dim, cfg)
