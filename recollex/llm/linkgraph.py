@@ -1,12 +1,13 @@
 """URL filters: rules on hosts and paths, and trust that spreads over the graph of hosts.
 
-Hosts are nodes, with all that stand above them down to the registered domain (taken as the last two labels). A page's
+Hosts are nodes, with all that stand above them down to the registered domain: the last two labels, but no suffix under
+which strangers register (`suffixes`), so neighbours under one of those aren't tied together. A page's
 links are edges from its host: absolute ones and those without a scheme (//host/...) lead to their host; relative ones
 resolve to the page's own host and add nothing between hosts. A host and the host without its first label are joined both
 ways, as a site and its subdomains. Personalised PageRank from trusted seeds (hosts of allowed pages) runs along the edges;
 distrust starts at blocked seeds and runs against them, as what links to a bad host is suspect. Both run in the same rounds
-until neither changes by more than `residual`. A host is blocked if its distrust exceeds `ratio` times its trust plus the
-rank that every host would have if all had the same.
+until neither changes by more than `residual`. Both are measured in the shares of an average seed of their kind, which
+don't depend on the size of the table; a host is blocked if its distrust exceeds `ratio` times its trust, and `least`.
 
 What hosts without a way out hold returns to the seeds: that solution is the one without return, scaled to add up to 1
 (the return is a multiple of the seeds, and ranks are linear in them), so it is scaled once at the end.
@@ -21,6 +22,8 @@ them; an empty table gives no rows; other columns are ignored; texts of any leng
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from .common import ascii_lower, materialize
 
 # Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Some suffixes under which anybody registers or publishes.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "blogspot.com", "github.io", "wordpress.com")
 LINK = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 #: No chunk of a host's edges is larger than this part of all edges, nor than LEAST_CHUNK if that is more.
 CHUNKS, LEAST_CHUNK = 1024, 256
@@ -51,19 +56,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def ancestors(host: Column) -> Column:
-    """The hosts above a host, nearest first, down to two labels."""
+def ancestors(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The hosts above a host, nearest first, down to two labels; none that is a suffix of strangers."""
     labels = F.split(host, r"\.")
     above = F.transform(F.sequence(F.lit(2), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    above = F.filter(above, lambda h: ~h.isin(*suffixes)) if suffixes else above
     return F.when((F.size(labels) > 2) & ~host.rlike(r"^[0-9.:]+$"), above).otherwise(F.array().cast("array<string>"))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """src, dst of distinct hosts: links, and both ways between a host and the one above it."""
     links = pages.select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("to")).select(F.col("host").alias("src"), host_of(F.concat(F.lit("x:"), F.regexp_extract("to", r"(?s)//.*", 0))).alias("dst"))
     links = links.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
     hosts = pages.select("host").union(links.select("dst")).where("host != ''").distinct()
-    chain = hosts.select(F.concat(F.array("host"), ancestors(F.col("host"))).alias("c"))
+    chain = hosts.select(F.concat(F.array("host"), ancestors(F.col("host"), suffixes)).alias("c"))
     up = chain.select(F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("src"), F.slice("c", 2, F.size("c")).alias("dst"))).alias("e")).select("e.src", "e.dst").distinct()
     return links.union(up).union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -104,22 +110,27 @@ def propagate(nodes: DataFrame, edges: DataFrame, damping: float = 0.75, residua
     return ranks.select("host", *[(F.col(c) / (v or 1.0)).alias(c) for c, v in zip(("trust", "distrust"), sums, strict=True)])
 
 
-def judge(pages: DataFrame, *, rules=RULES, ratio: float = 1.0, damping: float = 0.75, residual: float = 1e-3) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust."""
+def by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, by_rule (its verdict) and html."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    rule, by_rule = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("by_rule", by_rule)
-    edges = materialize(host_edges(rows.select("host", "html")), "urls-edges")
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return rows.withColumn("rule", rule).withColumn("by_rule", verdict)
+
+
+def judge(pages: DataFrame, *, rules=RULES, ratio: float = 1.0, least: float = 0.05, damping: float = 0.75, residual: float = 1e-3, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust (ranks times the number of seed hosts)."""
+    rows = by_rules(pages, rules)
+    edges = materialize(host_edges(rows.select("host", "html"), suffixes), "urls-edges")
     pages_of = rows.where("host != ''").groupBy("host").agg(F.sum((F.col("by_rule") == "allow").cast("long")).alias("good"), F.sum((F.col("by_rule") == "block").cast("long")).alias("bad"))
     known = pages_of.select("host").union(edges.select(F.col("dst").alias("host"))).distinct()
     nodes = materialize(known.join(pages_of, "host", "left").select("host", F.coalesce("good", F.lit(0)).cast("double").alias("good"), F.coalesce("bad", F.lit(0)).cast("double").alias("bad")), "urls-nodes")
-    good, bad, n = nodes.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0)), F.count("*")).first()
+    good, bad, goods, bads = nodes.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0)), F.count_if(F.col("good") > 0), F.count_if(F.col("bad") > 0)).first()
     nodes = nodes.select("host", (F.col("good") / max(1.0, good)).alias("good"), (F.col("bad") / max(1.0, bad)).alias("bad"))
-    ranks = propagate(nodes, edges, damping, residual)
+    ranks = propagate(nodes, edges, damping, residual).select("host", (F.col("trust") * goods).alias("trust"), (F.col("distrust") * bads).alias("distrust"))
     salts = 16  # a host may hold a third of all pages
     scores = materialize(ranks.select(F.col("host").alias("h2"), "trust", "distrust", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2")), "urls-scores")
     salted = rows.drop("html").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
     joined = salted.join(scores, F.expr("host = h2 and salt = salt2"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    by_method = F.when(zero(F.col("distrust")) > F.lit(ratio) * zero(F.col("trust")) + F.lit(1.0 / max(1, n)), F.lit("block")).otherwise(F.lit("allow"))
+    by_method = F.when((zero(F.col("distrust")) > F.lit(ratio) * zero(F.col("trust"))) & (zero(F.col("distrust")) > least), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), zero(F.col("trust")).alias("trust"), zero(F.col("distrust")).alias("distrust"))

@@ -47,6 +47,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_url_filters_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules alone say; SQL can express this part."""
+    return linkgraph.by_rules(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.search(rows.where(F.pmod("id", F.lit(50)) == 0), rows)
@@ -69,7 +74,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_toxicity, op4_lm_scoring, op5_ngram_jaccard_join, op6_suffix_dedup, op7_language_id, op7_language_id_pages, op8_url_filters, op9_exact_topk, op10_packing, op11_byte_bpe, op12_conversation_trie, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_toxicity, op4_lm_scoring, op5_ngram_jaccard_join, op6_suffix_dedup, op7_language_id, op7_language_id_pages, op8_url_filters, op8_url_filters_rules, op9_exact_topk, op10_packing, op11_byte_bpe, op12_conversation_trie, op13_embedding_whitening)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,6 +133,40 @@ SELECT x.conv_id, x.depth::BIGINT AS depth, pn.conv_id AS parent_conv_id, x.n_co
 FROM x JOIN s USING (depth, key) LEFT JOIN e USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN n pn ON pn.depth = x.depth - 1 AND pn.key = up.parent
 """
 
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS id FROM sh GROUP BY 1),
+r AS (SELECT id, min(doc_id) AS rep, count(*) AS copies, min(n) AS n FROM n GROUP BY 1),
+rs AS (SELECT rep, g FROM r JOIN sh ON doc_id = rep),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM rs a JOIN rs b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT a, b, y.copies FROM common JOIN r x ON x.rep = a JOIN r y ON y.rep = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT rep AS v, rep AS to_v FROM r UNION SELECT v, b FROM reach JOIN links ON a = to_v),
+cls AS (SELECT v AS rep, min(to_v) AS class_id FROM reach GROUP BY 1),
+deg AS (SELECT a AS rep, sum(copies) AS links FROM links GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copies - 1 + coalesce(links, 0), 0)::BIGINT AS n_links, coalesce(r.rep, d.doc_id) AS rep_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.id = n.id LEFT JOIN cls ON cls.rep = r.rep LEFT JOIN deg ON deg.rep = r.rep
+"""
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 - 99)::BIGINT)) AS s FROM d WHERE len(h) >= 200)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+marks AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS new FROM late),
+runs AS (SELECT doc_id, min(s) AS low, max(s) + 100 AS high FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marks) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS before FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS h, count(*) AS n_spans, sum(high - low) AS n_removed FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP8_RULES_SQL = rf"""
+WITH u AS (SELECT row_number() OVER () AS n, page_id, coalesce({_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")}, '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS x(verdict, h, p))
+SELECT page_id, host, path, max_by(h || p, len(h || p)) AS rule, max_by(verdict, len(h || p)) AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n, page_id, host, path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op9_exact_topk": OP9_SQL, "op12_conversation_trie": OP12_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op8_url_filters_rules": OP8_RULES_SQL, "op9_exact_topk": OP9_SQL, "op12_conversation_trie": OP12_SQL}

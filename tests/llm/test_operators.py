@@ -480,11 +480,40 @@ def test_urls(spark, monkeypatch):
     assert got[14][3] == "block" and got[16] == ("10.0.0.1", "/x", None, "allow")  # a subdomain of a blocked site
     verdicts = {u: v[3] if v[2] else None for (i, u, _), v in ((r, got[r[0]]) for r in rows)}
     trust, distrust = by_power_iteration(rows, verdicts.get, 0.75)
+    check_ranks(table, trust, distrust, lambda w: len({v[0] for v in got.values() if v[2] and v[3] == w}))
+    assert linkgraph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def check_ranks(table, trust, distrust, seeds):
+    """Ranks in shares of an average seed, and verdicts of hosts without a rule."""
+    goods, bads = seeds("allow"), seeds("block")
     for r in table:
-        assert abs(r["trust"] - trust.get(r["host"], 0)) < 1e-6 and abs(r["distrust"] - distrust.get(r["host"], 0)) < 1e-6
+        t, d = trust.get(r["host"], 0) * goods, distrust.get(r["host"], 0) * bads
+        assert abs(r["trust"] - t) < 1e-5 and abs(r["distrust"] - d) < 1e-5
         if not r["rule"] and r["host"]:
-            assert (r["verdict"] == "block") == (distrust[r["host"]] > trust[r["host"]] + 1 / len(trust))
-    assert linkgraph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+            assert (r["verdict"] == "block") == (d > t and d > 0.05)
+
+
+def test_urls_with_many_links(spark):
+    """Thousands of links between hundreds of hosts; the verdicts of a table don't change when another joins it."""
+    rng = np.random.default_rng(11)
+    host = lambda i: f"h{i}." + ("net" if i % 9 == 0 else "org" if i % 7 == 0 else "info")
+    rows = [(i, f"http://{host(i)}/fr/p", "".join(f'<a href="//{host(int(j))}/x">' for j in rng.integers(0, 300, rng.integers(0, 25)))) for i in range(300)]
+    table = linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), residual=1e-9).collect()
+    verdicts = {r["page_id"]: r["verdict"] if r["rule"] else None for r in table}
+    by_url = {u: verdicts[i] for i, u, _ in rows}
+    trust, distrust = by_power_iteration(rows, by_url.get, 0.75)
+    check_ranks(table, trust, distrust, lambda w: sum(v == w for v in verdicts.values()))
+    assert {"allow", "block"} <= {r["verdict"] for r in table if not r["rule"]}
+    twice = rows + [(1000 + i, u.replace("http://h", "http://k"), h.replace("//h", "//k")) for i, u, h in rows]
+    again = {r["page_id"]: r["verdict"] for r in linkgraph.judge(spark.createDataFrame(twice, "page_id long, url string, html string"), residual=1e-9).collect()}
+    assert all(again[r["page_id"]] == again[1000 + r["page_id"]] == r["verdict"] for r in table)
+
+
+def test_strangers_under_one_suffix(spark):
+    d = spark.createDataFrame([("a.b.co.uk",), ("x.github.io",), ("a.b.c.org",), ("10.0.0.1",), ("co.uk",)], "host string")
+    got = {r["host"]: r["up"] for r in d.select("host", linkgraph.ancestors(F.col("host")).alias("up")).collect()}
+    assert got == {"a.b.co.uk": ["b.co.uk"], "x.github.io": [], "a.b.c.org": ["b.c.org", "c.org"], "10.0.0.1": [], "co.uk": []}
 
 
 def test_hosts_have_edges(spark):
