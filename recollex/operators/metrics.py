@@ -62,3 +62,18 @@ def amortized(rebuild_ms: DataFrame, frames: int) -> DataFrame:
 
 def throughput(samples: DataFrame, value: str, key: str) -> DataFrame:
     return samples.groupBy(key).agg(F.avg(value).alias("mean_ms"), (F.lit(1000.0) / F.avg(value)).alias("qps"))
+
+
+def benchmark_report(samples: DataFrame, value: str, key: str, budget: float) -> DataFrame:
+    """A row a run: samples, misses of the budget and their share, percentiles, mean, deviation, greatest, and the verdict."""
+    stats = latency_stats(samples, value, key).drop("n")
+    places = lower_percentiles(samples, value, key, {p: v for p, v in PERCENTILES.items() if p != "p99"})
+    return deadline_report(samples, value, key, budget).join(stats, key).join(places, key).select(key, "n", "misses", "miss_rate", *PERCENTILES, "mean", "stddev", "max", "within")
+
+
+def answer_report(results: DataFrame, queries: DataFrame, hit: Column) -> DataFrame:
+    """One row: queries, results, share of queries with a row for which `hit` holds, mean first score, mean greatest hop."""
+    per = results.groupBy("query_id").agg(F.count("*").alias("c"), F.max(hit.cast("int")).alias("hit"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("first"), F.max("hops").alias("hop"))
+    each = queries.select("query_id").join(per, "query_id", "left")
+    share = lambda c: F.avg(F.coalesce(c, F.lit(0)).cast("double"))
+    return each.agg(F.count("*").alias("queries"), F.coalesce(F.sum("c"), F.lit(0)).alias("results"), share("hit").alias("hit_rate"), F.avg("first").alias("first_score"), share("hop").alias("avg_hops"))

@@ -9,11 +9,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.functions.lineage import shared_root
+from recollex.functions.lineage import cut, shared_root
 from recollex.functions.vectors import decayed, dot, modality_name, norm, normalize, pack_half
 from recollex.operators import descent, expand, graph, index, maintain, metrics, prune, topk
 from recollex.plans.config import BeamConfig, GraphConfig, RetrievalConfig
-from recollex.plans.retrieve import DEMOS, ablation, retrieve
+from recollex.plans.retrieve import DEMOS, ablation, demo_hit, retrieve
 from recollex.sources import memories as src
 from recollex.sources.reports import result_lines
 
@@ -493,6 +493,60 @@ def stage_throughput(spark, d):
     return metrics.throughput(_samples(spark, d), "ms", "run").select("run", F.round("mean_ms", 6).alias("mean_ms"), F.round("qps", 6).alias("qps"))
 
 
+# Reports --------------------------------------------------------------------------------------------------------------
+
+@query(f"""SELECT p.run, n, misses, round(misses / n, 6) AS miss_rate, p50, p90, p99, p999, p9999, round(mean, 6) AS mean, round(stddev, 6) AS stddev, max, p99 <= 150 AS within
+FROM ({_pct('floor({p}::DOUBLE * (n - 1))::BIGINT')}) p JOIN (SELECT event_type AS run, count(value) AS n, count(*) FILTER (value > 150) AS misses, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS stddev, max(value) AS max FROM events GROUP BY 1) USING (run)""")
+def benchmark_report(spark, d):
+    r = metrics.benchmark_report(_samples(spark, d), "ms", "run", 150.0)
+    return r.select(*[F.round(c, 6).alias(c) if c in ("miss_rate", "mean", "stddev") else c for c in r.columns])
+
+
+_HITS = {"av": "rank = 1 AND score > {t}", "robot": "rank = 1 AND score > {t}", "ar": "score > {t}", "voice": "modality = 0 AND score > {t}"}
+REPORT = "count(*) AS queries, coalesce(sum(c), 0)::BIGINT AS results, round(avg(coalesce(hit, 0)), 6) AS hit_rate, round(avg(first), 5) AS first_score, round(avg(coalesce(hop, 0)), 6) AS avg_hops"
+
+
+def _answered(sql: str, hit: str) -> str:
+    return f"(SELECT query_id, count(*) AS c, max(({hit})::INTEGER) AS hit, max(score) FILTER (rank = 1) AS first, max(hops) AS hop FROM ({sql}) GROUP BY 1)"
+
+
+_ASKED = "(SELECT vec_id AS query_id FROM embeddings JOIN events ON event_id = vec_id WHERE vec_id % 20 = 0)"
+
+
+def _report(r: DataFrame) -> DataFrame:
+    return r.select(*[F.round(c, 5 if c == "first_score" else 6).alias(c) if c in ("hit_rate", "first_score", "avg_hops", "recall", "cross_modal", "avg_degree") else F.col(c) for c in r.columns])
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS demo, {REPORT} FROM {_ASKED} q LEFT JOIN {_answered(_retrieve_sql(replace(c, **NO_NORM), GraphConfig(), c.max_hops), _HITS[n].format(t=t))} a USING (query_id)" for n, (c, t) in DEMOS.items()))
+def demo_report(spark, d):
+    """A row a demo: how its configuration answers the table's queries over one graph."""
+    mem, q = _both(spark, d)
+    edges, out = graph.build(mem), None
+    for name, (cfg, threshold) in DEMOS.items():
+        got = _out(retrieve(mem, edges, q, replace(cfg, **NO_NORM)), *RES)
+        row = metrics.answer_report(got, q, demo_hit(name, threshold)).select(F.lit(name).alias("demo"), "*")
+        out = row if out is None else out.unionByName(row)
+    return _report(out)
+
+
+_EXACT = MEM + f", truth AS ({_top('sims', _final(RATE), 10)}) SELECT query_id, node_id FROM truth"
+
+
+@query(f"""SELECT g.*, r.*, m.recall, m.cross_modal FROM ({SQL['corpus_summary']}) g,
+(SELECT {REPORT} FROM {_ASKED} q LEFT JOIN {_answered(SQL['retrieve_full'], 'hops > 0')} a USING (query_id)) r,
+(SELECT round(avg(recall), 6) AS recall, round(avg((kinds >= 2)::INTEGER), 6) AS cross_modal FROM (SELECT t.query_id, count(a.node_id) / 10.0 AS recall FROM ({_EXACT}) t LEFT JOIN ({SQL['retrieve_full']}) a USING (query_id, node_id) GROUP BY 1)
+ JOIN (SELECT query_id, count(DISTINCT modality) AS kinds FROM ({SQL['retrieve_full']}) WHERE rank <= 5 GROUP BY 1) USING (query_id)) m""")
+def validation_report(spark, d):
+    """One row: the corpus and its graph, how the full retrieval answers (a hit has a row that a hop brought), its recall of the
+    exact decayed best, and the share of answers with two modalities or more among the first five."""
+    mem, q = _both(spark, d)
+    edges = graph.build(mem)
+    got = cut(_out(retrieve(mem, edges, q, CFG), *RES))
+    recall = metrics.recall_at_k(got, topk.topk(mem, q, 10, rate=RATE), 10).agg(F.avg("recall").alias("recall"))
+    kinds = metrics.cross_modal_rate(got, 5).withColumnRenamed("rate", "cross_modal")
+    return _report(graph.summary(mem, edges, 64).join(metrics.answer_report(got, q, F.col("hops") > 0)).join(recall).join(kinds))  # four tables of one row
+
+
 # Streams --------------------------------------------------------------------------------------------------------------
 
 @query("""WITH m AS (SELECT vec_id, list_transform(e, lambda x: (x / (sqrt(list_dot_product(e, e)) + 1e-8))::FLOAT::DOUBLE) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),

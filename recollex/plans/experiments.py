@@ -11,14 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.functions.lineage import cut, shared_root
 from recollex.functions.vectors import draw
 from recollex.operators import cells, graph, metrics, topk
-from recollex.plans.config import TEXT, GraphConfig, RetrievalConfig
-from recollex.plans.retrieve import DEMOS, retrieve
+from recollex.plans.config import GraphConfig, RetrievalConfig
+from recollex.plans.retrieve import DEMOS, demo_hit, retrieve
 from recollex.sources import memories as src
 
 
@@ -47,7 +47,7 @@ SCENES = {
     "ar": Scene(300, 27000, 4500, 0.12, 0.15, 90, 90.0, (0, 0, 1), 31, 5.0, "cache_hit_rate"),
     "voice": Scene(20, 9000, 900, 0.15, 0.18, 30, 30.0, (0.2, 0.8, 0), 301, 20.0, "cross_modal_hit_rate"),
 }
-OCCLUSION_PERIOD, OCCLUSION_LENGTH, OCCLUDED_HIT = 30, 24, 0.70
+OCCLUSION_PERIOD, OCCLUSION_LENGTH = 30, 24
 VALIDATION_SIZES = (1000, 2000, 4000, 8000, 16000)
 
 
@@ -76,16 +76,6 @@ def scene_queries(spark: SparkSession, name: str, s: Scene, dim: int, seed: int
     return src.views(seen, dim, s.query_drift, seed)
 
 
-def _hit(name: str, threshold: float) -> Column:
-    """Whether a row of an answer makes it a hit."""
-    score = F.col("score")
-    if name == "av":
-        return (F.col("rank") == 1) & (score > F.when(F.col("occluded"), OCCLUDED_HIT).otherwise(threshold))
-    if name == "robot":
-        return (F.col("rank") == 1) & (score > threshold)
-    return ((F.col("modality") == TEXT) & (score > threshold)) if name == "voice" else score > threshold
-
-
 def demo(spark: SparkSession, name: str, dim: int = 768, **changes) -> DataFrame:
     """One row: demo, frame_rate_hz, deadline_ms, num_frames, corpus_size, embedding_dim, queries, batch_ms_per_query,
     metric, hit_rate (of queries with an answer that is a hit), object_rate (of queries whose first answer is their object)
@@ -99,7 +89,7 @@ def demo(spark: SparkSession, name: str, dim: int = 768, **changes) -> DataFrame
     ms = (time.perf_counter() - began) * 1000
     owner = mem.select("node_id", F.col("object_id").alias("found"))
     rows = got.join(owner, "node_id").join(q.select("query_id", "object_id", "occluded"), "query_id")
-    per = rows.groupBy("query_id").agg(F.max(_hit(name, threshold).cast("int")).alias("hit"), F.max(((F.col("rank") == 1) & (F.col("found") == F.col("object_id"))).cast("int")).alias("own"))
+    per = rows.groupBy("query_id").agg(F.max(demo_hit(name, threshold, F.col("occluded")).cast("int")).alias("hit"), F.max(((F.col("rank") == 1) & (F.col("found") == F.col("object_id"))).cast("int")).alias("own"))
     each = q.select("query_id").join(per, "query_id", "left")
     out = each.agg(F.count("*").alias("queries"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0)).alias("hit_rate"), F.coalesce(F.avg(F.coalesce("own", F.lit(0))), F.lit(0.0)).alias("object_rate"))
     each_ms = F.lit(ms) / F.greatest(F.col("queries"), F.lit(1))
@@ -222,8 +212,6 @@ def deadline_run(spark: SparkSession, n: int = 2000, dim: int = 768, rate_hz: in
     mean, stddev, max and within."""
     mem = cut(src.benchmark_corpus(spark, n, dim))
     samples = cut(deadline_stream(spark, mem, graph.build(mem, graph_config) if cfg.max_hops else None, dim, rate_hz, frames, cfg))
-    stats = metrics.latency_stats(samples, "ms", "run").drop("n")
-    places = metrics.lower_percentiles(samples, "ms", "run", {p: v for p, v in metrics.PERCENTILES.items() if p != "p99"})
-    report = metrics.deadline_report(samples, "ms", "run", budget_ms).join(stats, "run").join(places, "run")
+    report = metrics.benchmark_report(samples, "ms", "run", budget_ms)
     head = {"rate_hz": rate_hz, "budget_ms": budget_ms, "frames": frames, "corpus_size": n, "embedding_dim": dim, "top_k": cfg.top_k, "max_hops": cfg.max_hops}
     return report.select(*[F.lit(v).alias(c) for c, v in head.items()], "n", "misses", "miss_rate", "p50", "p90", "p99", "p999", "p9999", "mean", "stddev", "max", "within")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollex.functions.vectors import normalize
 from recollex.operators import expand, graph, topk
-from recollex.plans.config import ABLATIONS, RetrievalConfig
+from recollex.plans.config import ABLATIONS, TEXT, RetrievalConfig
 
 
 def retrieve(mem: DataFrame, edges: DataFrame | None, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -36,6 +36,8 @@ def ablation(mem: DataFrame, queries: DataFrame, name: str, cfg: RetrievalConfig
     return retrieve(mem, edges, queries, replace(cfg, max_hops=hops))
 
 
+#: The score from which an object counts that was hidden before.
+OCCLUDED_HIT = 0.70
 #: Name to configuration and the score from which a result counts as a hit.
 DEMOS = {
     "av": (RetrievalConfig(10, 2, 1e-6), 0.75),
@@ -43,3 +45,13 @@ DEMOS = {
     "ar": (RetrievalConfig(20, 2, 1e-7), 0.65),
     "voice": (RetrievalConfig(15, 2, 1e-5, hop_decay=0.6), 0.60),
 }
+
+
+def demo_hit(name: str, threshold: float, hidden: Column | None = None) -> Column:
+    """Whether a row of an answer makes it a hit; in "av" a lower score is enough for what was hidden."""
+    score = F.col("score")
+    if name == "av":
+        return (F.col("rank") == 1) & (score > (threshold if hidden is None else F.when(hidden, OCCLUDED_HIT).otherwise(threshold)))
+    if name == "robot":
+        return (F.col("rank") == 1) & (score > threshold)
+    return (F.col("modality") == TEXT) & (score > threshold) if name == "voice" else score > threshold
