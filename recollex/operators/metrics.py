@@ -13,9 +13,10 @@ PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999, "p9999": 0.99
 
 
 def recall_at_k(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """query_id, recall: share of the k true nodes that the answer has."""
+    """query_id, recall: share of the k true nodes, or of those that there are, that the answer has."""
     hit = results.select("query_id", "node_id").join(truth.select("query_id", "node_id"), ["query_id", "node_id"], "left_semi").groupBy("query_id").count()
-    return truth.select("query_id").distinct().join(hit, "query_id", "left").select("query_id", (F.coalesce("count", F.lit(0)) / F.lit(float(k))).alias("recall"))
+    of = truth.groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).alias("of"))
+    return of.join(hit, "query_id", "left").select("query_id", (F.coalesce("count", F.lit(0)) / F.col("of").cast("double")).alias("recall"))
 
 
 def cross_modal_rate(results: DataFrame, top: int) -> DataFrame:

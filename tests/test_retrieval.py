@@ -176,3 +176,9 @@ def test_percentiles_of_one_huge_run(spark, rule):
         for name, p in metrics.PERCENTILES.items():
             assert got[k][name] == v[int(np.floor(p * (len(v) - 1))) if rule == "floor" else min(int(np.floor(len(v) * p)), len(v) - 1)]
     assert "Window" not in metrics.lower_percentiles(s, "ms", "run")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_of_few_true_nodes(spark):
+    answer = spark.createDataFrame([(1, 5), (1, 6), (2, 9)], "query_id long, node_id long")
+    truth = spark.createDataFrame([(1, 5), (1, 7), (2, 9), (3, 1)], "query_id long, node_id long")
+    assert {tuple(r) for r in metrics.recall_at_k(answer, truth, 10).collect()} == {(1, 0.5), (2, 1.0), (3, 0.0)}
