@@ -63,7 +63,7 @@ def anchors(index: PositionalIndex, items: DataFrame, width: int) -> DataFrame:
 
 
 def alignments(index: PositionalIndex, items: DataFrame, width: int) -> DataFrame:
-    """doc_id, th, key, diag: where the rarest terms of a window stand as in the item, which then begins at word diag."""
+    """doc_id, th, key, diags: where the rarest terms of a window stand as in the item, which then begins at words diags."""
     a = materialize(anchors(index, items, width), "decon-anchors")
     first = index.postings.join(a.withColumn("tid", F.col("a")[0]["tid"]), "tid")
     left = first.select("doc_id", "th", "key", "a", (F.col("pos") - F.col("a")[0]["off"]).alias("diag")).distinct()
@@ -74,7 +74,7 @@ def alignments(index: PositionalIndex, items: DataFrame, width: int) -> DataFram
         wanted = left.where(F.size("a") > r).withColumn("tid2", term["tid"]).withColumn("p2", F.col("diag") + term["off"])
         met = wanted.join(own, (wanted["doc_id"].eqNullSafe(own["d2"])) & (wanted["th"] == own["t2"]) & (wanted["tid2"] == own["tid2"]) & (wanted["p2"] == own["p2"]), "left_semi").select("doc_id", "th", "key", "a", "diag")
         left = met.unionByName(left.where(F.size("a") <= r))
-    return materialize(left.select("doc_id", "th", "key", "diag").distinct(), "decon-alignments")
+    return materialize(left.groupBy("doc_id", "th", "key").agg(F.collect_set("diag").alias("diags")), "decon-alignments")
 
 
 @dataclass(frozen=True)
@@ -105,13 +105,14 @@ def segments(index: PositionalIndex, items: DataFrame, near: Proximity) -> DataF
 
 
 def near_candidates(index: PositionalIndex, items: DataFrame, near: Proximity) -> DataFrame:
-    """doc_id, th, item_id, words, need, bin: where a span that begins in a bin of slop words may be near a segment."""
+    """doc_id, th, item_id, words, need, bins: where a span that begins in one of the bins of slop words may be near a segment."""
     seg = materialize(segments(index, items, near), "decon-rare")
     rare = seg.select("seg", "held", F.explode("terms").alias("t")).select("seg", "held", F.col("t")["tid"].alias("tid"))
     bins = F.floor(F.col("pos") / near.slop)
     met = index.postings.join(rare, "tid").select("doc_id", "th", "seg", "held", "tid", F.explode(F.array(bins - 1, bins)).alias("bin")).where("bin >= 0").distinct()
     found = met.groupBy("doc_id", "th", "seg", "bin").agg(F.count("*").alias("n"), F.first("held").alias("held")).where("n >= held")
-    return materialize(found.join(seg.select("seg", "item_id", "words", "need"), "seg").select("doc_id", "th", "item_id", "words", "need", "bin"), "decon-near")
+    by_seg = found.groupBy("doc_id", "th", "seg").agg(F.collect_list("bin").alias("bins"))
+    return materialize(by_seg.join(seg.select("seg", "item_id", "words", "need"), "seg").select("doc_id", "th", "item_id", "words", "need", "bins"), "decon-near")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -130,19 +131,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int, near: Proximity |
     index = build_index(docs, items)
     found = alignments(index, items, width).join(items, "key")
     slop = near.slop if near else 1
-    cand, close = "struct<item_id:string,item:array<string>,diag:int>", "struct<item_id:string,words:array<string>,need:int,bin:bigint>"
-    found = found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.struct("item_id", "item", "diag").cast(cand).alias("cand"), F.lit(None).cast(close).alias("close"))
+    cand, close = "struct<item_id:string,item:array<string>,diags:array<int>>", "struct<item_id:string,words:array<string>,need:int,bins:array<bigint>>"
+    found = found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.struct("item_id", "item", "diags").cast(cand).alias("cand"), F.lit(None).cast(close).alias("close"))
     if near:
         spans = near_candidates(index, items, near)
-        found = found.unionByName(spans.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.lit(None).cast(cand).alias("cand"), F.struct("item_id", "words", "need", "bin").cast(close).alias("close")))
-    by_doc = found.groupBy("d2", "t2").agg(F.collect_list("cand").alias("cands"), F.collect_list("close").alias("closes"))  # a document's own candidates
+        found = found.unionByName(spans.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.lit(None).cast(cand).alias("cand"), F.struct("item_id", "words", "need", "bins").cast(close).alias("close")))
+    by_doc = found.groupBy("d2", "t2").agg(F.collect_list("cand").alias("cands"), F.collect_list("close").alias("closes"))  # each item and segment once a document
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
     # The generator keeps a filter on hits, which Spark pushes down, from splitting the text anew for every item word.
     joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d2"]) & (rows["th"] == by_doc["t2"]), "left").select("doc_id", F.explode(F.array(words_column(F.col("text")))).alias("words"), "cands", "closes", "row")
 
-    def matched(c):
-        """Places of c's item whose word stands in the document."""
-        return F.transform(c["item"], lambda w, i: F.coalesce(F.get(F.col("words"), c["diag"] + i) == w, F.lit(False)))
+    def matched(item, diag):
+        """Places of the item, begun at word diag, whose word stands in the document."""
+        return F.transform(item, lambda w, i: F.coalesce(F.get(F.col("words"), diag + i) == w, F.lit(False)))
 
     def begun(m):
         """For each place of the item where a window begins: whether all its words are matched."""
@@ -150,18 +151,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int, near: Proximity |
         return F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda s: F.forall(F.slice(m, s + 1, F.lit(width)), lambda x: x))
 
     def places(c):
-        v = c["begun"]
-        at = F.filter(F.transform(v, lambda x, s: F.when(x, s)), lambda s: s.isNotNull())
-        spans = F.transform(at, lambda s: F.sequence(c["diag"] + s, c["diag"] + s + F.least(F.size(c["item"]), F.lit(width)) - 1))
-        return F.array_distinct(F.flatten(spans))
+        """Words of the document that the windows of a candidate hit."""
+        def spans(d):
+            at = F.filter(F.transform(d["begun"], lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+            return F.flatten(F.transform(at, lambda s: F.sequence(d["diag"] + s, d["diag"] + s + c["length"] - 1)))
+
+        return F.array_distinct(F.flatten(F.transform(c["at"], spans)))
 
     def is_near(c):
-        part = F.slice("words", (c["bin"] * slop + 1).cast("int"), F.lit(2 * slop))
         holds = lambda x: F.size(F.array_intersect(x, c["words"])) >= c["need"]
-        return holds(part) & F.exists(F.sequence(F.lit(1), F.lit(slop)), lambda i: holds(F.slice(part, i, F.lit(slop))))
 
-    checked = joined.withColumn("cands", F.when(F.col("cands").isNotNull(), F.transform("cands", lambda c: F.struct(c["item_id"].alias("item_id"), c["item"].alias("item"), c["diag"].alias("diag"), begun(matched(c)).alias("begun")))))
-    real = F.filter("cands", lambda c: F.exists(c["begun"], lambda x: x))
+        def in_bin(b):
+            part = F.slice("words", (b * slop + 1).cast("int"), F.lit(2 * slop))
+            return holds(part) & F.exists(F.sequence(F.lit(1), F.lit(slop)), lambda i: holds(F.slice(part, i, F.lit(slop))))
+
+        return F.exists(c["bins"], in_bin)
+
+    def tried(c):
+        at = F.transform(c["diags"], lambda d: F.struct(d.alias("diag"), begun(matched(c["item"], d)).alias("begun")))
+        return F.struct(c["item_id"].alias("item_id"), F.least(F.size(c["item"]), F.lit(width)).alias("length"), F.filter(at, lambda d: F.exists(d["begun"], lambda x: x)).alias("at"))
+
+    checked = joined.withColumn("cands", F.when(F.col("cands").isNotNull(), F.transform("cands", tried)))
+    real = F.filter("cands", lambda c: F.size(c["at"]) > 0)
     ids = lambda found: F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda c: c["item_id"]))), F.array().cast("array<string>"))
     return checked.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), ids(real).alias("items"),
