@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled rows. Their texts and all others become TF-IDF vectors over every word of the
+Examples are a sample of labelled rows, bounded in rows and bytes. Their texts and all others become TF-IDF vectors over every word of the
 examples, with document frequencies counted over all documents; idf is raised by 1 + the log of a word's lift towards the
 label in the sample, where that is positive. A text's other words meet no example: they would change its norm only, which
 neither the order of neighbours nor the votes depend on. For each text the k nearest examples by exact cosine come from an
 inverted index whose postings stand in blocks with their largest weight: blocks are visited by falling upper bound until
 none can hold a nearer example. Votes are weighted by the squared cosine; an isotonic fit of leave-one-out votes over the
-sample turns their share into a probability. In votes, fit and shares an example counts as often as its class was sampled
-less, so scores mean the same whatever the sample. Words are told apart by a 64-bit hash.
+sample turns their share into a probability. In votes, fit and shares an example counts as often as its class and size were
+sampled less, so scores mean the same whatever the sample. Words are told apart by a 64-bit hash.
 
 Defined cases: null or empty text, and texts without any term, have no neighbours and get the sample's share of toxic
 rows among such texts; null doc_id is not in a sample and not held out; a doc_id with several labels counts as toxic if one
@@ -212,10 +212,12 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, k: int = 15, toxic_rows: int = 3000, clean_rows: int = 6000,
+def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, k: int = 15, toxic_rows: int = 3000, clean_rows: int = 6000, row_bytes: int = 1 << 14, longest: int = 1 << 18,
           terms: int | None = None, least_lift: float | None = None, least_chi2: float | None = None, threshold: float = 0.7, evidence: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_terms, neighbours (ids of the nearest examples). toxic_rows and clean_rows bound
-    the sample (met in expectation, by a hash of the id). All words count unless terms (the most tied to the label by
+    the sample's rows and row_bytes its size, to that many bytes a row (met in expectation, by a hash of the id): a text of more
+    bytes is sampled less often in proportion, and counts for more. Texts beyond `longest` bytes are scored, but no examples, so
+    none can exceed its share by more than longest / row_bytes. All words count unless terms (the most tied to the label by
     chi-square), least_lift or least_chi2 are given."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -225,15 +227,18 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     part = {1: min(1.0, toxic_rows / max(1, by_class.get(1, 0))), 0: min(1.0, clean_rows / max(1, by_class.get(0, 0)))}
     u = F.pmod(F.xxhash64("doc_id", F.lit("examples")), F.lit(1 << 30)) / float(1 << 30)
     picked = usable.where(((F.col("toxic") == 1) & (u < part[1])) | ((F.col("toxic") == 0) & (u < part[0])))
-    sample = docs.join(F.broadcast(picked), "doc_id")  # about toxic_rows + clean_rows rows of two numbers
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rate = F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]) * F.least(F.lit(1.0), F.lit(float(row_bytes)) / F.greatest(size, F.lit(1)))
+    sample = docs.join(F.broadcast(picked), "doc_id").withColumn("rate", rate)  # about toxic_rows + clean_rows rows of two numbers
+    sample = sample.where((F.col("rate") > u) & (size <= longest))
 
     def words(batches):
         for b in batches:
             for x in row_chunks(b, "text"):
                 h, times, n = _bags(texts_of(x, "text"))
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("toxic"), _lists(h.view(np.int64), n), _lists(times.astype(np.int32), n)], names=["doc_id", "toxic", "words", "tf"])
+                yield pa.RecordBatch.from_arrays([*[x.column(c) for c in ("doc_id", "toxic", "rate")], _lists(h.view(np.int64), n), _lists(times.astype(np.int32), n)], names=["doc_id", "toxic", "rate", "words", "tf"])
 
-    rows = sample.mapInArrow(words, "doc_id long, toxic int, words array<long>, tf array<int>").dropDuplicates(["doc_id", "words", "tf"])
+    rows = sample.mapInArrow(words, "doc_id long, toxic int, rate double, words array<long>, tf array<int>").groupBy("doc_id", "toxic", "words", "tf").agg(F.max("rate").alias("rate"))
     sampled = materialize(rows, "tox-sample")
     got = sampled.orderBy("doc_id", "words", "tf").toArrow().combine_chunks()  # the bounded sample
     example, toxic = got["doc_id"].to_numpy().astype(np.int64), got["toxic"].to_numpy().astype(float)
@@ -242,8 +247,9 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     vocabulary, term = np.unique(got["words"].combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
     tf = got["tf"].combine_chunks().flatten().to_numpy().astype(float)
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    counts = np.where(toxic > 0, 1 / part[1], 1 / part[0])
-    counts /= counts.mean() if len(counts) else 1.0
+    counts = 1 / got["rate"].to_numpy()
+    usual = counts.mean() if len(counts) else 1.0
+    counts /= usual
     share = float((toxic * counts).sum() / counts.sum()) if n1 + n0 else 0.0
     a, b = (np.bincount(term, y[row], minlength=len(vocabulary)) for y in (toxic, 1 - toxic))
     lift = ((a + 1) / (n1 + 2)) / ((b + 1) / (n0 + 2))
@@ -289,12 +295,11 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
                 t = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 known = vocabulary[t] == h
                 raw.append(index.vote(t[known], _weights(f[known], idf[t[known]]), k, d)[0] if known.any() else -1.0)
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column("toxic")], names=["raw", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column("toxic"), b.column("rate")], names=["raw", "toxic", "rate"])
 
-    voted = [(r[0], r[1]) for r in sampled.mapInArrow(votes, "raw double, toxic int").collect()]  # the bounded sample
+    voted = [(r[0], r[1], 1 / r[2] / usual) for r in sampled.mapInArrow(votes, "raw double, toxic int, rate double").collect()]  # the bounded sample
     voted = [v for v in voted if v[0] >= 0]
-    times = {t: c for t, c in zip(toxic.tolist(), counts.tolist(), strict=True)}  # one value a class
-    steps, values = isotonic(np.array([v[0] for v in voted]), np.array([float(v[1]) for v in voted]), np.array([times[v[1]] for v in voted])) if voted else (np.zeros(1), np.zeros(1))
+    steps, values = isotonic(np.array([v[0] for v in voted]), np.array([float(v[1]) for v in voted]), np.array([v[2] for v in voted])) if voted else (np.zeros(1), np.zeros(1))
     without = float(((toxic * counts)[~has].sum() + 0.5 * share) / (counts[~has].sum() + 0.5))
 
     def judge(batches):
