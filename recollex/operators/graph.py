@@ -15,9 +15,10 @@ from recollex.plans.config import GraphConfig
 
 def ranked(df: DataFrame, order: str, name: str, group: str | None = None) -> DataFrame:
     """df with dense places from 0 by `order` (within group): rows are ranked inside range partitions and shifted by the
-    counts of those before, so no single task sees all rows."""
+    counts of those before, so no single task sees all rows. The ranges come from a sample, which another run of the same plan
+    may draw otherwise; so rows are written with their ranges, and rows and counts are read from there."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    df = df.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id()).withColumn("_g", F.col(group) if group else F.lit(0))
+    df = cut(df.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id()).withColumn("_g", F.col(group) if group else F.lit(0)))
     inside = df.withColumn("_in", F.row_number().over(W.partitionBy("_part", "_g").orderBy(order)) - 1)
     counts = inside.groupBy("_part", "_g").agg(F.count("*").alias("_n"))
     before = counts.select("_part", "_g", F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -119,3 +119,14 @@ def test_packed_halves(spark, tmp_path):
         df.write.option("compression", "none").parquet(str(tmp_path / name))
         size[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
     assert size["half"] < 0.62 * size["float"]
+
+
+def test_places_of_many_rows_are_dense(spark):
+    """More rows than the sample that ranges are drawn from."""
+    ids = spark.range(60_000).select((F.col("id") * 7919 % 60_000 * 2).alias("node_id"), (F.col("id") % 3).cast("int").alias("kind"))
+    got = graph.ranked(ids, "node_id", "place").collect()
+    assert len(got) == 60_000 and all(r["node_id"] == 2 * r["place"] for r in got)
+    places = {}
+    for r in sorted(graph.ranked(ids, "node_id", "place", "kind").collect()):
+        places.setdefault(r["kind"], []).append(r["place"])
+    assert all(p == list(range(20_000)) for p in places.values())
