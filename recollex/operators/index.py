@@ -6,56 +6,36 @@ import heapq
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollex.functions.lineage import cut
 from recollex.functions.vectors import decayed, dot, half, query_hash
+from recollex.operators import exchange, topk
 from recollex.operators.graph import ranked
 from recollex.operators.topk import best
 from recollex.plans.config import BeamConfig
 
 #: Bytes of index and vectors that may be sent to every task; a larger index is searched by joins.
 MOST_SENT = 256 << 20
+#: Blocks of memories that are made to give all tasks work; more are made only where a block would be too large.
+MOST_BLOCKS = 64
 
 
-def knn(mem: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """node_id, rank, dst, sim, modality (of dst): the k nearest others of every memory. Memories are cut into blocks; each
-    pair of blocks is one matrix product, of which a task keeps the k best a row and target modality."""
-    n = mem.count()
-    blocks = max(1, -(-n // block))
-    cut = mem.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("node_id", "embedding", "modality"))).alias("rows"))
-    left = cut.select("b", F.col("rows").alias("a_rows"))
-    right = cut.select(F.col("b").alias("c"), F.col("rows").alias("c_rows"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-
-    def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                (ai, ae, _), (ci, ce, cm) = (_unpack(b.column(c)[r].values) for c in ("a_rows", "c_rows"))
-                s = ae @ ce.T
-                s[ai[:, None] == ci[None, :]] = -np.inf
-                out = []
-                for i in range(len(ai)):
-                    for m in np.unique(cm):
-                        at = np.flatnonzero((cm == m) & (ci != ai[i]))
-                        if len(at) > k:
-                            low = np.partition(s[i, at], len(at) - k)[len(at) - k]
-                            at = at[s[i, at] >= low]
-                        at = at[np.lexsort((ci[at], -s[i, at]))][:k]
-                        out.append((np.full(len(at), ai[i]), ci[at], s[i, at], np.full(len(at), m, np.int32)))
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["src", "node_id", "score", "modality"])
-
-    found = left.join(right, "b").repartitionById(max(1, min(4096, blocks * blocks)), F.pmod(F.col("b") + F.col("c") * blocks, F.lit(max(1, min(4096, blocks * blocks)))).cast("int")).mapInArrow(run, "src long, node_id long, score double, modality int")
-    return found
-
-
-def _unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e = rows.field("embedding")
-    n = len(rows)
-    return rows.field("node_id").to_numpy(zero_copy_only=False), np.asarray(e.flatten(), np.float64).reshape(n, -1), rows.field("modality").to_numpy(zero_copy_only=False)
+def knn(mem: DataFrame, k: int) -> DataFrame:
+    """src, node_id, score, modality (of node_id): the k nearest others of every memory in each modality. Blocks of memories meet
+    all memories of a modality in one task, which keeps their best (see exchange.py); so a memory is sent once for each block."""
+    n, dims = mem.agg(F.count("*"), F.coalesce(F.mode(F.size("embedding")), F.lit(1))).first()
+    kinds = [r[0] for r in mem.select("modality").distinct().orderBy("modality").collect()]  # one row a modality
+    blocks = max(1, -(-n * max(1, dims) // topk.MOST_SENT), min(-(-exchange.tasks(mem) // max(1, len(kinds))), MOST_BLOCKS))
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(kinds) for x in (m, i)]), F.col("modality")), F.lit(0)) if kinds else F.lit(0)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    asked = topk.whole_queries(mem.select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(0.0).alias("query_ts")), dims)
+    left = asked.withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(kinds) - 1))))).withColumn("slot", block * max(1, len(kinds)) + F.col("kind"))
+    right = topk.whole_memories(mem.withColumn("ts", F.lit(0.0)), dims).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("slot", F.col("at").cast("long") * max(1, len(kinds)) + kind)
+    met = exchange.meet(left, right, k + 1, parts=blocks * max(1, len(kinds)))  # one more, as each meets itself
+    return met.where("query_id <> node_id").withColumnRenamed("query_id", "src")
 
 
 def knn_graph(mem: DataFrame, k: int) -> DataFrame:
@@ -66,7 +46,7 @@ def knn_graph(mem: DataFrame, k: int) -> DataFrame:
 
 def neighbors(mem: DataFrame, degree: int = 64, cross: int = 4) -> DataFrame:
     """node_id, slot, dst, kind: degree - cross nearest, then the nearest of each other modality (at most cross)."""
-    near = knn(mem, degree)
+    near = cut(knn(mem, max(1, degree - cross)))  # read twice
     plain = best(near, degree - cross, key="src").select("src", (F.col("rank") - 1).alias("slot"), F.col("node_id").alias("dst"), F.lit("near").alias("kind"))
     own = mem.select(F.col("node_id").alias("src"), F.col("modality").alias("own"))
     other = near.join(own, "src").where("modality <> own")

@@ -55,3 +55,25 @@ def test_pruned_maxima(spark, monkeypatch):
         assert gate == {**{i: bool(w <= 1.0) for i, w in enumerate(want)}, 70: True, 71: True}
     assert prune.skipped(got, index) > 0.2
     assert prune.max_similarity(mem.limit(0), cand).agg(F.max("max_sim")).first()[0] == 0.0
+
+
+def test_nearest_others_by_blocks(spark, monkeypatch):
+    """Ties, several batches of memories a slot, a vector that isn't whole (it made the former build fail), and one modality or none."""
+    from recollex.operators import exchange, index
+
+    monkeypatch.setattr(exchange, "MEMORIES", 16)
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(150, 4)), rng.integers(-1, 2, (150, 4))])
+    rows = [(i, x.tolist(), i % 3) for i, x in enumerate(v)]
+    mem = spark.createDataFrame([*rows, (900, None, 0), (901, [1.0], 1)], "node_id long, embedding array<double>, modality int")
+    best = lambda i, at: sorted((j for j in at if j != i), key=lambda j: (-(v[i] @ v[j]), j))
+    whole = v[150:]  # products of whole numbers are exact, so ties are
+    small = mem.where("node_id between 150 and 299")
+    got = {(r["node_id"], r["rank"]): r["dst"] for r in index.knn_graph(small, 7).collect()}
+    assert got == {(i, r + 1): j for i in range(150, 300) for r, j in enumerate(best(i, range(150, 300))[:7])} and len(whole) == 150
+    near = {(r["node_id"], r["slot"]): (r["dst"], r["kind"]) for r in index.neighbors(mem, 6, 2).collect()}
+    want = {(i, s): (j, "near") for i in range(300) for s, j in enumerate(best(i, range(300))[:4])}
+    for i in range(300):
+        want |= {(i, 4 + s): (best(i, range(m, 300, 3))[0], "bridge") for s, m in enumerate(sorted({0, 1, 2} - {i % 3}))}
+    assert near == want
+    assert index.knn_graph(mem.where("modality = 1"), 3).where("node_id < 900").count() == 300 and index.knn_graph(mem.limit(0), 3).count() == 0
