@@ -77,3 +77,29 @@ def test_nearest_others_by_blocks(spark, monkeypatch):
         want |= {(i, 4 + s): (best(i, range(m, 300, 3))[0], "bridge") for s, m in enumerate(sorted({0, 1, 2} - {i % 3}))}
     assert near == want
     assert index.knn_graph(mem.where("modality = 1"), 3).where("node_id < 900").count() == 300 and index.knn_graph(mem.limit(0), 3).count() == 0
+
+
+def test_exhaustive_beam_sees_what_no_link_leads_to(spark):
+    from recollex.operators import index
+    from recollex.plans.config import BeamConfig
+
+    v = np.random.default_rng(9).integers(-3, 4, (40, 3))
+    mem = frame(spark, v)
+    links = spark.createDataFrame([(i, 0, (i + 1) % 20) for i in range(40)], "node_id long, slot int, dst long")  # none to 20 and beyond
+    got = index.beam_search(mem, links, asked(mem, 40), BeamConfig(5, 40, 40, seeds=2, time_decay=0.0))
+    s = v @ v.T
+    assert {(r["query_id"], r["rank"], r["node_id"]) for r in got.collect()} == {(i, r + 1, int(n)) for i in range(40) for r, n in enumerate(np.lexsort((np.arange(40), -s[i]))[:5])}
+
+
+def test_wanted_cells_come_in_small_batches():
+    """3,000 candidates that want 99 of 100 cells each; the rows stand for a table, whose batches the function gets."""
+    import pyarrow as pa
+
+    index = object.__new__(prune.Cells)
+    index.centers, index.n = np.tile([1.0, 0.0], (100, 1)), np.ones(100)
+    index.radius, index.low, index.high = np.full(100, 3.2), np.ones(100), np.ones(100)
+    rows = type("Rows", (), {"mapInArrow": lambda self, f, schema: f})()
+    q = pa.array([[1.0, 0.0]] * 3000, pa.list_(pa.float64()))
+    b = pa.RecordBatch.from_arrays([pa.array(range(3000)), q, pa.array([0.5] * 3000)], names=["candidate_id", "q", "found"])
+    sizes = [x.num_rows for x in prune._cells_of(rows, index, False, None)(iter([b]))]
+    assert sum(sizes) == 3000 * 99 and max(sizes) <= 10_000
