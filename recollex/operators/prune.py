@@ -22,6 +22,8 @@ from recollex.operators.topk import MOST_SENT, whole_memories, whole_queries
 
 #: Memories of a cell that a task sees at most.
 PART = 200_000
+#: Rows of candidates and cells that a task makes at once.
+WANTED = 8192
 #: Bounds are raised by this share of the vectors' lengths, above what rounding takes from them.
 SLACK = 1e-9
 
@@ -98,8 +100,9 @@ def _cells_of(rows: DataFrame, index: Cells, first: bool, gate: float | None) ->
                 need = bounds(q) > (found if gate is None else np.where(found > gate, np.inf, gate))[:, None]
                 need[np.arange(len(q)), nearest] = False
                 row, cell = np.nonzero(need)
-            got = b.select(["candidate_id", "q"]).take(pa.array(row))
-            yield got.append_column("cell", pa.array(cell.astype(np.int32)))
+            for low in range(0, len(row), WANTED):  # a candidate may want a thousand cells
+                got = b.select(["candidate_id", "q"]).take(pa.array(row[low : low + WANTED]))
+                yield got.append_column("cell", pa.array(cell[low : low + WANTED].astype(np.int32)))
 
     index_n, centers = index.n, index.centers
     frozen = object.__new__(Cells)  # what tasks need of it, without its tables
