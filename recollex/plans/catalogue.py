@@ -367,7 +367,7 @@ def _hits(spark, d):
     mem, q = _both(spark, d)
     edges = graph.build(mem)
     seeds = topk.topk(mem, q, 10, rate=RATE)
-    return maintain.edge_hits(edges, expand.expand(seeds, edges, mem, q, CFG))
+    return maintain.edge_hits(edges, cut(expand.expand(seeds, edges, mem, q, CFG)))
 
 
 @query(HITS + " SELECT * FROM counted")

@@ -103,3 +103,15 @@ def test_wanted_cells_come_in_small_batches():
     b = pa.RecordBatch.from_arrays([pa.array(range(3000)), q, pa.array([0.5] * 3000)], names=["candidate_id", "q", "found"])
     sizes = [x.num_rows for x in prune._cells_of(rows, index, False, None)(iter([b]))]
     assert sum(sizes) == 3000 * 99 and max(sizes) <= 10_000
+
+
+def test_pairs_are_scored_where_vectors_are_sent_once(spark):
+    v = np.random.default_rng(10).normal(size=(30, 4))
+    mem = frame(spark, v).union(spark.createDataFrame([(90, None, 0.0, 0), (91, [1.0], 0.0, 1)], "node_id long, embedding array<double>, ts double, modality int")).withColumn("weight", F.lit(2.0))
+    q = asked(mem, 6)
+    pairs = spark.createDataFrame([(i, j, float(i)) for i in range(6) for j in (*range(i, 30, 3), 90, 91, 95)] + [(77, 1, 0.0)], "query_id long, node_id long, parent double")
+    scored = exchange.score(pairs, q, mem, 4, 2, 3, rate=0.01)
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()  # a join sends a vector with each pair
+    got = {(r["query_id"], r["node_id"]): (r["parent"], r["modality"], r["own"]) for r in scored.collect()}
+    want = {(i, j): (float(i), j % 3, pytest.approx(2 * (v[i] @ v[j]) * np.exp(-0.01 * (200.0 - j)))) for i in range(6) for j in range(i, 30, 3)}
+    assert got == want | {(i, j): (float(i), m, None) for i in range(6) for j, m in ((90, 0), (91, 1))}
