@@ -1,4 +1,4 @@
-"""Every query with every memory, in blocks."""
+"""Every query with every memory, in blocks; rounds of neighbour descent."""
 
 import math
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recollex.functions.vectors import dot, rounded
-from recollex.operators import exchange, topk
+from recollex.operators import descent, exchange, topk
 from recollex.plans import catalogue
 
 
@@ -38,3 +38,25 @@ def test_rounding_equals_decimals(spark):
     d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").select(F.round("x", 6).alias("a"), rounded(F.col("x")).alias("b"))
     same = lambda a, b: a is b is None or (a is not None and b is not None and (a == b and math.copysign(1, a) == math.copysign(1, b) or a != a and b != b))
     assert all(same(r["a"], r["b"]) for r in d.collect())
+
+
+def test_descent_moves_pairs_once_and_vectors_by_row(spark):
+    """Groups go on over batches, and a node's pairs cross one exchange."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 4)).astype(np.float32)
+    rows = [(int(i // 20), int(i), bool(i % 3 == 0), float("-inf") if i % 2 else 0.5, [float(c) for c in x]) for i, x in enumerate(v)]
+    members = spark.createDataFrame(rows, "w long, id long, fresh boolean, floor double, embedding array<float>")
+    s = v.astype(np.float64) @ v.astype(np.float64).T
+    want = {(i, j) for i in range(60) for j in range(60) if i != j and i // 20 == j // 20 and (i % 3 == 0 or j % 3 == 0) and (i % 2 or s[i, j] >= 0.5)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["u"], r["v"]): r["sim"] for r in descent._compare(members, 20).collect()}
+        few = {(r["u"], r["v"]) for r in descent._compare(members, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == want and all(abs(got[i, j] - s[i, j]) < 1e-12 for i, j in got)
+    assert few == {(i, j) for i, j in want if sum(s[i, j] < s[a, b] for a, b in want if a == i) < 3}
+    pairs = spark.createDataFrame([(1, 2, 0.5, True), (1, 2, 0.5, False), (1, 3, 0.7, True), (1, 4, 0.1, True)], descent.PAIRS + ", fresh boolean")
+    best = descent._best(pairs, 2)
+    assert {tuple(r) for r in best.collect()} == {(1, 3, 0.7, True), (1, 2, 0.5, False)}
+    assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
