@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.functions.lineage import cut, shared_root
+from recollex.functions.lineage import cut, materialize, shared_root
 from recollex.functions.vectors import decayed, dot, modality_name, norm, normalize, pack_half, rounded
 from recollex.operators import descent, expand, graph, index, maintain, metrics, prune, topk
 from recollex.plans.config import BeamConfig, GraphConfig, RetrievalConfig
@@ -42,6 +42,12 @@ def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mem, src.queries(mem)
 
 
+def _held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """_both() with memories written once: a retrieval over a graph reads them some ten times, and each time would join all events."""
+    mem = materialize(src.memories(spark, d), "memories")
+    return mem, src.queries(mem)
+
+
 def _out(df: DataFrame, *cols: str) -> DataFrame:
     """Scores to 6 digits."""
     return df.select(*[F.round(c, 6).alias(c) if c in ("score", "sim", "max_sim", "importance") else F.col(c) for c in cols])
@@ -244,7 +250,7 @@ RES = ("query_id", "rank", "node_id", "score", "modality", "hops")
 
 def _retrieval(name: str, cfg: RetrievalConfig, g: GraphConfig | None) -> None:
     def run(spark, d):
-        mem, q = _both(spark, d)
+        mem, q = _held(spark, d)
         return _out(retrieve(mem, graph.build(mem, g) if g else None, q, cfg), *RES)
 
     query(_retrieve_sql(cfg, g, cfg.max_hops if g else 0), name)(run)
@@ -267,7 +273,7 @@ for _name, (_cfg, _) in DEMOS.items():
 @query(SQL["bfs_2hop"])
 def bfs_2hop_stored(spark, d):
     """bfs_2hop over edges and memories in buckets, which hops read without a shuffle."""
-    mem, q = _both(spark, d)
+    mem, q = _held(spark, d)
     name = f"g_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges, stored = graph.store(graph.build(mem, RING), mem, name, f"{shared_root(spark).rstrip('/')}/{name}", buckets)
@@ -276,7 +282,7 @@ def bfs_2hop_stored(spark, d):
 
 @query("SELECT query_id, '{\"results\":[' || string_agg('{\"id\":' || node_id || ',\"score\":' || score || ',\"modality\":' || modality || ',\"hops\":' || hops || '}', ',' ORDER BY rank) || ']}' AS line FROM (" + _retrieve_sql(CFG, RING, 2) + ") GROUP BY query_id")
 def answer_lines(spark, d):
-    mem, q = _both(spark, d)
+    mem, q = _held(spark, d)
     return result_lines(retrieve(mem, graph.build(mem, RING), q, CFG))
 
 
@@ -364,7 +370,7 @@ HITS = _VIS + ", used AS (SELECT e.src, e.dst, count(*) AS hits FROM reached c J
 
 
 def _hits(spark, d):
-    mem, q = _both(spark, d)
+    mem, q = _held(spark, d)
     edges = graph.build(mem)
     seeds = topk.topk(mem, q, 10, rate=RATE)
     return maintain.edge_hits(edges, cut(expand.expand(seeds, edges, mem, q, CFG)))
@@ -520,7 +526,7 @@ def _report(r: DataFrame) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT '{n}' AS demo, {REPORT} FROM {_ASKED} q LEFT JOIN {_answered(_retrieve_sql(replace(c, **NO_NORM), GraphConfig(), c.max_hops), _HITS[n].format(t=t))} a USING (query_id)" for n, (c, t) in DEMOS.items()))
 def demo_report(spark, d):
     """A row a demo: how its configuration answers the table's queries over one graph."""
-    mem, q = _both(spark, d)
+    mem, q = _held(spark, d)
     edges, out = graph.build(mem), None
     for name, (cfg, threshold) in DEMOS.items():
         got = _out(retrieve(mem, edges, q, replace(cfg, **NO_NORM)), *RES)
