@@ -265,7 +265,7 @@ for _name in ("flat", "ring_only", "no_bridges", "no_hubs", "no_rewire", "h0", "
     from recollex.plans.config import ABLATIONS
 
     _g, _h = ABLATIONS[_name]
-    query(_retrieve_sql(CFG, _g if _h else None, _h), f"ablation_{_name}")(lambda spark, d, name=_name: _out(ablation(*_both(spark, d), name, CFG), *RES))
+    query(_retrieve_sql(CFG, _g if _h else None, _h), f"ablation_{_name}")(lambda spark, d, name=_name: _out(ablation(*_held(spark, d), name, CFG), *RES))
 for _name, (_cfg, _) in DEMOS.items():
     _retrieval(f"demo_{_name}", replace(_cfg, **NO_NORM), GraphConfig())
 
