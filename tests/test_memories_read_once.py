@@ -7,7 +7,7 @@ from recollex.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["demo_voice", "ablation_no_rewire"])
+@pytest.mark.parametrize("name", ["demo_voice", "ablation_no_rewire", "ablation_ring_only"])
 def test_hops_read_no_events(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "event_id" not in plan and "vec_id" not in plan  # memories were joined before, and written
