@@ -545,10 +545,11 @@ _EXACT = MEM + f", truth AS ({_top('sims', _final(RATE), 10)}) SELECT query_id,
 def validation_report(spark, d):
     """One row: the corpus and its graph, how the full retrieval answers (a hit has a row that a hop brought), its recall of the
     exact decayed best, and the share of answers with two modalities or more among the first five."""
-    mem, q = _both(spark, d)
+    mem, q = _held(spark, d)
     edges = graph.build(mem)
-    got = cut(_out(retrieve(mem, edges, q, CFG), *RES))
-    recall = metrics.recall_at_k(got, topk.topk(mem, q, 10, rate=RATE), 10).agg(F.avg("recall").alias("recall"))
+    exact = cut(topk.topk(mem, q, CFG.top_k, rate=CFG.time_decay))  # the seeds of the retrieval, too
+    got = cut(_out(retrieve(mem, edges, q, CFG, exact), *RES))
+    recall = metrics.recall_at_k(got, exact, 10).agg(F.avg("recall").alias("recall"))
     kinds = metrics.cross_modal_rate(got, 5).withColumnRenamed("rate", "cross_modal")
     return _report(graph.summary(mem, edges, 64).join(metrics.answer_report(got, q, F.col("hops") > 0)).join(recall).join(kinds))  # four tables of one row
 

@@ -12,15 +12,17 @@ from recollex.operators import expand, graph, topk
 from recollex.plans.config import ABLATIONS, TEXT, RetrievalConfig
 
 
-def retrieve(mem: DataFrame, edges: DataFrame | None, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """query_id, rank, node_id, score, modality, hops. Deleted memories are neither seeds nor passed nor returned."""
+def retrieve(mem: DataFrame, edges: DataFrame | None, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), seeds: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, node_id, score, modality, hops. Deleted memories are neither seeds nor passed nor returned. seeds: what
+    topk() finds by cfg, where the caller has it already."""
     if "deleted" in mem.columns:
         mem = mem.where(~F.coalesce("deleted", F.lit(False)))
     if cfg.normalize_query:
         queries = queries.withColumn("q", normalize("q"))
     queries = queries.select("query_id", "q", "query_ts")
     where = F.col("modality") == cfg.modality_filter if cfg.modality_filter is not None else None
-    seeds = topk.topk(mem, queries, cfg.top_k, rate=cfg.time_decay, where=where, importance=cfg.use_importance)
+    if seeds is None:
+        seeds = topk.topk(mem, queries, cfg.top_k, rate=cfg.time_decay, where=where, importance=cfg.use_importance)
     if edges is None or cfg.max_hops == 0:
         reached = seeds.withColumn("hops", F.lit(0))
     else:

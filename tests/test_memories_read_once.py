@@ -2,6 +2,7 @@
 
 import pytest
 
+from recollex.operators import topk
 from recollex.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +12,10 @@ SF = "/root/testdata/sf0.001"
 def test_hops_read_no_events(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "event_id" not in plan and "vec_id" not in plan  # memories were joined before, and written
+
+
+def test_validation_searches_once(spark, monkeypatch):
+    found, calls = topk.topk, []
+    monkeypatch.setattr(topk, "topk", lambda *a, **k: calls.append(1) or found(*a, **k))
+    assert catalogue.QUERIES["validation_report"](spark, SF).count() == 1
+    assert len(calls) == 1
