@@ -12,6 +12,7 @@ from recollex.sources import memories as src
 QUERIES = [
     "ablation_no_bridges",
     "retrieve_modality",
+    "retrieve_modality_results",
 ]
 
 
