@@ -13,6 +13,7 @@ QUERIES = [
     "ablation_no_bridges",
     "retrieve_modality",
     "retrieve_modality_results",
+    "bfs_1hop",
 ]
 
 
