@@ -14,6 +14,7 @@ QUERIES = [
     "retrieve_modality",
     "retrieve_modality_results",
     "bfs_1hop",
+    "bfs_2hop_stored",
 ]
 
 
