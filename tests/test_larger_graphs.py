@@ -15,6 +15,7 @@ QUERIES = [
     "retrieve_modality_results",
     "bfs_1hop",
     "bfs_2hop_stored",
+    "corpus_summary",
 ]
 
 
