@@ -16,6 +16,7 @@ QUERIES = [
     "bfs_1hop",
     "bfs_2hop_stored",
     "corpus_summary",
+    "edge_hits",
 ]
 
 
