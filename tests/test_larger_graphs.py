@@ -17,6 +17,7 @@ QUERIES = [
     "bfs_2hop_stored",
     "corpus_summary",
     "edge_hits",
+    "low_utility_edges",
 ]
 
 
