@@ -18,6 +18,7 @@ QUERIES = [
     "corpus_summary",
     "edge_hits",
     "low_utility_edges",
+    "nsn_bridges",
 ]
 
 
