@@ -19,6 +19,7 @@ QUERIES = [
     "edge_hits",
     "low_utility_edges",
     "nsn_bridges",
+    "csr_rows",
 ]
 
 
