@@ -20,6 +20,7 @@ QUERIES = [
     "low_utility_edges",
     "nsn_bridges",
     "csr_rows",
+    "degree_stats",
 ]
 
 
