@@ -11,10 +11,6 @@ from recollex.operators import exchange, topk
 from recollex.plans.config import RetrievalConfig
 
 
-#: Columns of memories that are made to give all tasks work; more are made only where a column would be too large.
-MOST_COLUMNS = 64
-
-
 def own_scores(reached: DataFrame, mem: DataFrame, queries: DataFrame, cfg: RetrievalConfig, grid: tuple[int, int, int]) -> DataFrame:
     """reached with modality and the node's own final score (null where the seed filter leaves it out). Only nodes that
     a hop reaches are scored. grid: see layout()."""
@@ -31,7 +27,7 @@ def layout(mem: DataFrame, queries: DataFrame) -> tuple[int, int, int]:
     n, dims = queries.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(1))).first()
     dims, size = max(1, dims), lambda rows: max(1, -(-rows * max(1, dims) // topk.MOST_SENT))
     blocks = size(n)
-    return dims, blocks, max(size(mem.count()), min(-(-exchange.tasks(mem) // blocks), MOST_COLUMNS))
+    return dims, blocks, max(size(mem.count()), exchange.wide(mem, blocks))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, mem: DataFrame, queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:

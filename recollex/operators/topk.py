@@ -47,12 +47,13 @@ def topk(mem: DataFrame, queries: DataFrame, k: int, *, rate: float = 0.0, where
     n, dims = queries.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(1))).first()
     blocks = max(1, -(-n * max(1, dims) // MOST_SENT))
     packed = {"unpack": unpack_half} if dict(mem.dtypes)["embedding"] == "binary" else {}
-    queries, mem = whole_queries(queries, dims), whole_memories(mem, dims, carry, importance)
+    kind = "float" if dict(queries.dtypes)["q"] == "array<float>" else "double"  # floats travel as such; products are of doubles
+    queries, mem = whole_queries(queries, dims, kind), whole_memories(mem, dims, carry, importance)
     return best(exchange.grid(queries, mem, k, blocks, rate=rate, carry=carry, **packed), k).select("query_id", "rank", "node_id", "score", carry)
 
 
-def whole_queries(queries: DataFrame, dims: int) -> DataFrame:
-    return queries.where(_whole("q", dims)).select("query_id", F.col("q").cast("array<double>").alias("q"), F.coalesce(F.col("query_ts").cast("double"), F.lit(0.0)).alias("query_ts"))
+def whole_queries(queries: DataFrame, dims: int, kind: str = "double") -> DataFrame:
+    return queries.where(_whole("q", dims)).select("query_id", F.col("q").cast(f"array<{kind}>").alias("q"), F.coalesce(F.col("query_ts").cast("double"), F.lit(0.0)).alias("query_ts"))
 
 
 def whole_memories(mem: DataFrame, dims: int, carry: str = "modality", importance: bool = False) -> DataFrame:
