@@ -60,3 +60,23 @@ def test_descent_moves_pairs_once_and_vectors_by_row(spark):
     best = descent._best(pairs, 2)
     assert {tuple(r) for r in best.collect()} == {(1, 3, 0.7, True), (1, 2, 0.5, False)}
     assert best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_pairs_exchange_does_not_grow_with_partitions(spark):
+    """A query crosses the exchange once for each of a bounded number of columns, not once a shuffle partition."""
+    mem = spark.createDataFrame([(i, [float(i), 1.0], float(i)) for i in range(300)], "node_id long, embedding array<float>, ts double")
+    q = mem.where("node_id < 5").selectExpr("node_id AS query_id", "embedding AS q", "0D AS query_ts")
+    show = lambda df: sorted(tuple(r) for r in df.collect())
+    want, parts = show(topk.similarity(mem, q, "ts")), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        got = topk.similarity(mem, q, "ts")
+        assert got.rdd.getNumPartitions() <= max(exchange.MOST_COLUMNS, 2 * spark.sparkContext.defaultParallelism)
+        assert show(got) == want and len(want) == 1500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_similarity_of_all_reads_no_events(spark):
+    plan = catalogue.QUERIES["similarity_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "event_id" not in plan and "vec_id" not in plan  # memories were joined before, and written
