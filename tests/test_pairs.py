@@ -80,3 +80,8 @@ def test_pairs_exchange_does_not_grow_with_partitions(spark):
 def test_similarity_of_all_reads_no_events(spark):
     plan = catalogue.QUERIES["similarity_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "event_id" not in plan and "vec_id" not in plan  # memories were joined before, and written
+
+
+def test_decay_of_all_reads_no_events(spark):
+    plan = catalogue.QUERIES["temporal_decay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "event_id" not in plan and "vec_id" not in plan
