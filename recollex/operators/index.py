@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollex.functions.lineage import cut
-from recollex.functions.vectors import decayed, dot, half, query_hash
+from recollex.functions.lineage import cut, forget, materialize, scratch_root
+from recollex.functions.vectors import decayed, half, query_hash
 from recollex.operators import exchange, topk
-from recollex.operators.graph import ranked
+from recollex.operators.graph import ranked, store
 from recollex.operators.topk import best
 from recollex.plans.config import BeamConfig
 
-#: Bytes of index and vectors that may be sent to every task; a larger index is searched by joins.
-MOST_SENT = 256 << 20
+#: Bytes of index and vectors that the driver may collect and send to every task; a larger index is searched by joins.
+MOST_SENT = 64 << 20
 #: Blocks of memories that are made to give all tasks work; more are made only where a block would be too large.
 MOST_BLOCKS = 64
 
@@ -77,16 +78,16 @@ def beam_search(mem: DataFrame, index: DataFrame | Callable[[], DataFrame], quer
             mem = mem.withColumn("embedding", half("embedding"))
         where = F.col("modality") == cfg.modality_filter if cfg.modality_filter is not None else None
         return topk.topk(mem, queries, cfg.top_k, rate=cfg.time_decay, where=where)
-    index = index() if callable(index) else index
+    index = materialize(index() if callable(index) else index, "index")  # read two times or more
     links = index.count()
     if (n or 0) * ((dim or 0) * 4 + 24) + links * 16 > MOST_SENT:
         return beam_joins(mem, index, queries, cfg)
-    rows = mem.select("node_id", "embedding", "modality", "ts").orderBy("node_id").toPandas()
-    edges = index.select("node_id", "slot", "dst").orderBy("node_id", "slot").toPandas()
+    rows = mem.select("node_id", "embedding", "modality", "ts").orderBy("node_id").toArrow()
+    edges = index.select("node_id", "slot", "dst").orderBy("node_id", "slot").toArrow()
     ids = rows["node_id"].to_numpy()
-    emb = np.stack(rows["embedding"]).astype(np.float16 if cfg.half else np.float32) if len(ids) else np.zeros((0, 1), np.float32)
-    start = np.searchsorted(edges["node_id"], [*ids, np.iinfo(np.int64).max])
-    sent = mem.sparkSession.sparkContext.broadcast((ids, emb, rows["modality"].to_numpy(), rows["ts"].to_numpy(), start, np.searchsorted(ids, edges["dst"])))
+    emb = rows["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float16 if cfg.half else np.float32) if len(ids) else np.zeros((0, 1), np.float32)
+    start = np.searchsorted(edges["node_id"].to_numpy(), [*ids, np.iinfo(np.int64).max])
+    sent = mem.sparkSession.sparkContext.broadcast((ids, emb, rows["modality"].to_numpy(), rows["ts"].to_numpy(), start, np.searchsorted(ids, edges["dst"].to_numpy())))
 
     def run(batches):
         ids, emb, mod, ts, start, dst = sent.value
@@ -119,39 +120,46 @@ def beam_search(mem: DataFrame, index: DataFrame | Callable[[], DataFrame], quer
 
 def beam_joins(mem: DataFrame, index: DataFrame, queries: DataFrame, cfg: BeamConfig = BeamConfig()) -> DataFrame:
     """The same search, with the same result, for indexes that fit no task: seeds, rounds and parents of each query as in
-    beam_search(), by joins. A row of the state is a node that a query has seen: open, expanded, or no longer in the beam.
-    It ends when no query has an open node in its beam."""
-    open_, expanded, left = 0, 1, 2
-    mem = mem.select("node_id", half("embedding").alias("embedding") if cfg.half else F.col("embedding"), "modality", "ts")
-    q = cut(queries.select("query_id", "q", "query_ts"))
-    index = index.select(F.col("node_id").alias("src"), "dst")
-    n = mem.count()
-
-    def few(df: DataFrame) -> DataFrame:
-        """df, written, with a hint to broadcast it if it has few rows; a row has three numbers."""
-        df = cut(df)
-        return F.broadcast(df) if df.count() * 32 < MOST_SENT // 8 else df
-
-    def scored(keys: DataFrame) -> DataFrame:
-        got = mem.join(few(keys), "node_id").join(q, "query_id")
-        return got.select("query_id", "node_id", dot("embedding", "q").alias("score"), "modality", "ts", "query_ts", F.lit(open_).alias("state"))
-
-    def kept(state: DataFrame) -> DataFrame:
-        order = W.partitionBy("query_id").orderBy(F.col("state") == left, F.desc("score"), "node_id")
-        return cut(state.withColumn("state", F.when(F.row_number().over(order) > cfg.beam, left).otherwise(F.col("state"))))
-
-    place = (F.col("h") + F.col("i") * 7919) % (1 << 32) % max(1, n)
-    seeds = q.select("query_id", query_hash(F.col("q")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(cfg.seeds - 1))).alias("i")).select("query_id", place.cast("long").alias("place")).distinct()
-    state = kept(scored(ranked(mem.select("node_id"), "node_id", "place").join(few(seeds), "place").select("query_id", "node_id")))
+    beam_search(), by joins. A row of the state is a query with its beam, in order: what a full beam leaves out is worse than all
+    that stays and never comes back, so it isn't kept. Links and vectors lie in buckets; a round shuffles the queries with the
+    nodes they expand, the pairs these ask for, and the state, which replaces the one before. Nothing passes the driver. It ends
+    when no query has an open node in its beam. Nodes without a score, or with NaN, take no part."""
+    n, width = mem.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    parts = max(mem.sparkSession.sparkContext.defaultParallelism, -(-(n or 0) * max(1, width or 0) // topk.MOST_SENT))
+    links = index.groupBy(F.col("node_id").alias("src")).agg(F.collect_list("dst").alias("dst"))
+    vectors = mem.select("node_id", half("embedding").alias("embedding") if cfg.half else F.col("embedding"), "modality", "ts")
+    name = f"beam_{uuid.uuid4().hex}"
+    links, vectors = store(links.repartition(parts, "src"), vectors.repartition(parts, "node_id"), name, f"{scratch_root(mem.sparkSession)}/{name}", parts)
+    none = F.array().cast("array<struct<minus:double,node_id:bigint,open:boolean>>")
+
+    def found(pairs: DataFrame) -> DataFrame:
+        """query_id and its new nodes, open, with their scores, negative for the order, of pairs query_id, q, node_id."""
+        got = exchange.products(pairs.hint("merge").join(vectors.select("node_id", "embedding"), "node_id"), width or 0).where("sim IS NOT NULL AND NOT isnan(sim)")
+        return got.groupBy("query_id").agg(F.collect_list(F.struct((F.lit(0.0) - F.col("sim")).alias("minus"), "node_id", F.lit(True).alias("open"))).alias("new"))
+
+    def kept(state: DataFrame, new: DataFrame) -> DataFrame:
+        """The state with new nodes, written, and the nodes that are next: the best open ones of each query. A node that was in the
+        beam has the same score again, so its rows are neighbours, and an expanded one comes first."""
+        state = state.hint("merge").join(new, "query_id", "left").withColumn("new", F.sort_array(F.concat("beam", F.coalesce("new", none))))
+        once = F.filter("new", lambda b, i: (i == 0) | (F.get("new", i - 1)["node_id"] != b["node_id"]))
+        state = state.select("query_id", "q", "query_ts", F.slice(once, 1, cfg.beam).alias("beam"))
+        return materialize(state.withColumn("next", F.slice(F.filter("beam", lambda b: b["open"]), 1, cfg.parents)["node_id"]), "beam")
+
+    q = materialize(queries.select("query_id", "q", "query_ts"), "beam-queries")
+    place = F.transform(F.sequence(F.lit(0), F.lit(cfg.seeds - 1)), lambda i: ((F.col("h") + i * 7919) % (1 << 32) % max(1, n)).cast("long"))
+    seeds = q.withColumn("h", query_hash(F.col("q"))).select("query_id", "q", F.explode(F.array_distinct(place)).alias("place"))
+    first = ranked(mem.select("node_id"), "node_id", "place").join(seeds.hint("merge"), "place").select("query_id", "q", "node_id")
+    state = kept(q.select("*", none.alias("beam")), found(first))
     for _ in range(cfg.iterations):
-        todo = best(state.where(F.col("state") == open_), cfg.parents).select("query_id", "node_id", F.lit(True).alias("now"))
-        todo = few(todo)
-        if todo.isEmpty():
+        asked = state.select("query_id", "q", F.explode("next").alias("src"))
+        if asked.isEmpty():
             break
-        new = index.join(todo.withColumnRenamed("node_id", "src"), "src").select("query_id", F.col("dst").alias("node_id")).distinct().join(state, ["query_id", "node_id"], "left_anti")
-        old = state.join(todo, ["query_id", "node_id"], "left").withColumn("state", F.when(F.col("now"), expanded).otherwise(F.col("state"))).drop("now")
-        state = kept(old.unionByName(scored(new)))
-    beam = state.where(F.col("state") != left)
+        pairs = asked.hint("merge").join(links, "src").select("query_id", "q", F.explode("dst").alias("node_id"))
+        expanded = F.transform("beam", lambda b: F.struct(b["minus"].alias("minus"), b["node_id"].alias("node_id"), (b["open"] & ~F.array_contains("next", b["node_id"])).alias("open")))
+        old, state = state, kept(state.select("query_id", "q", "query_ts", expanded.alias("beam")), found(pairs))
+        forget(old)
+    beam = state.select("query_id", "query_ts", F.explode("beam").alias("b")).select("query_id", "query_ts", "b.node_id", (F.lit(0.0) - F.col("b.minus")).alias("score"))
+    beam = beam.hint("merge").join(vectors.select("node_id", "modality", "ts"), "node_id")
     if cfg.modality_filter is not None:
         beam = beam.where(F.col("modality") == cfg.modality_filter)
     return best(beam.withColumn("score", decayed(F.col("score"), F.col("query_ts") - F.col("ts"), cfg.time_decay)), cfg.top_k).select("query_id", "rank", "node_id", "score", "modality")

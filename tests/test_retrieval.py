@@ -182,3 +182,28 @@ def test_recall_of_few_true_nodes(spark):
     answer = spark.createDataFrame([(1, 5), (1, 6), (2, 9)], "query_id long, node_id long")
     truth = spark.createDataFrame([(1, 5), (1, 7), (2, 9), (3, 1)], "query_id long, node_id long")
     assert {tuple(r) for r in metrics.recall_at_k(answer, truth, 10).collect()} == {(1, 0.5), (2, 1.0), (3, 0.0)}
+
+
+def test_beam_search_by_joins_sends_nothing_from_the_driver(spark, monkeypatch):
+    """Rounds broadcast nothing and the state is a row a query, which replaces the one before; vectors that aren't whole take no part."""
+    import os
+
+    from recollex.functions import lineage
+
+    mem = src.synthetic(spark, 60, 30, 30, 16).select("node_id", "embedding", "modality", "ts")
+    q, n = src.queries(mem, (0, 7, 42)), index.neighbors(mem, 12, 2)
+    states, write = [], lineage.materialize
+    monkeypatch.setattr(index, "materialize", lambda df, tag: states.append((tag, df, write(df, tag))) or states[-1][2])
+    cfg = BeamConfig(5, 6, 9, 2, 3, 1e-3)
+    want = sorted((r["query_id"], r["rank"], r["node_id"], round(r["score"], 6)) for r in index.beam_search(mem, n, q, cfg).collect())
+    monkeypatch.setattr(index, "MOST_SENT", 0)
+    odd = mem.union(spark.createDataFrame([(900, None, 0, 0.0), (901, [1.0], 1, 0.0)], mem.schema))
+    links = n.union(spark.createDataFrame([(0, 50, 900, "near"), (7, 51, 901, "near")], n.schema))
+    states.clear()
+    got = index.beam_search(mem, n, q, cfg)
+    assert sorted((r["query_id"], r["rank"], r["node_id"], round(r["score"], 6)) for r in got.collect()) == want
+    beams = [(df, kept) for tag, df, kept in states if tag == "beam"]
+    assert len(beams) > 3 and all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df, _ in beams[1:])  # the first has ranges' counts, a row a partition
+    there = [os.path.exists(kept.inputFiles()[0].removeprefix("file:")) for _, kept in beams]
+    assert there == [False] * (len(beams) - 1) + [True] and beams[-1][1].count() == 3
+    assert {r["node_id"] for r in index.beam_joins(odd, links, q, BeamConfig(40, 40, 40)).collect()}.isdisjoint({900, 901})
